@@ -108,11 +108,11 @@ def op6_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
 
 OP6_SQL = r"""
 WITH plain AS (
-  SELECT 'd' AS side, doc_id AS id, list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}\x20\x09-\x0D]+', '', 'g'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents
+  SELECT 'd' AS side, doc_id AS id, list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}\x20\x09-\x0D]+', '', 'g'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
   UNION ALL
-  SELECT 'b', item_id, list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}\x20\x09-\x0D]+', '', 'g'), '[\x20\x09-\x0D]+'), x -> x <> '') FROM benchmark
+  SELECT 'b', item_id, list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}\x20\x09-\x0D]+', '', 'g'), '[\x20\x09-\x0D]+'), lambda x: x <> '') FROM benchmark
 ), grams AS (
-  SELECT DISTINCT side, id, unnest(list_transform(range(1, len(w) - 3), i -> concat_ws(' ', w[i], w[i + 1], w[i + 2], w[i + 3], w[i + 4]))) AS g FROM plain WHERE len(w) >= 5
+  SELECT DISTINCT side, id, unnest(list_transform(range(1, len(w) - 3), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2], w[i + 3], w[i + 4]))) AS g FROM plain WHERE len(w) >= 5
 ), sizes AS (SELECT id, count(*) AS n FROM grams WHERE side = 'b' GROUP BY id)
 SELECT d.id AS doc_id, b.id AS item_id, any_value(s.n) AS n_shingles, count(*) AS n_shared, count(*) / any_value(s.n) AS containment
 FROM grams d JOIN grams b ON d.g = b.g AND d.side = 'd' AND b.side = 'b' JOIN sizes s ON s.id = b.id

@@ -126,14 +126,18 @@ def scan(
     one = one.withColumn("value_hash", F.sha2(F.col("span.value"), 256)).distinct()
     owned = ownership(one, most_owners).filter("not example").select("value_hash", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     one = one.withColumn("salt", F.pmod(F.col("key"), F.lit(SALTS)).cast("int"))
-    live = one.join(owned, ["value_hash", "salt"]).groupBy("id", "key").agg(F.collect_list("span").alias("added"))
-    same = rows.id.eqNullSafe(live.id) & (rows.key == live.key)
-    return rows.join(live, same, "left").select(rows.id, rows.key, "base", F.coalesce("added", F.array().cast(f"array<{SPAN}>")).alias("added"))
+    live = one.join(owned, ["value_hash", "salt"]).groupBy(F.col("id").alias("id2"), F.col("key").alias("key2")).agg(F.collect_list("span").alias("added"))
+    same = F.col("id").eqNullSafe(F.col("id2")) & (F.col("key") == F.col("key2"))
+    return rows.join(live, same, "left").select("id", "key", "base", F.coalesce("added", F.array().cast(f"array<{SPAN}>")).alias("added"))
 
 
 def digest(found: DataFrame, id_col: str, base: tuple[Kind, ...] = BASE) -> DataFrame:
     """Counts by base kind, digest of the base spans, and all spans, of ``scan``'s rows."""
-    counts = [F.size(F.filter("base", lambda x, n=k.name: x["name"] == n)).cast("long").alias(f"n_{k.name}") for k in base]
+
+    def count(name: str) -> Column:
+        return F.size(F.filter("base", lambda x: x["name"] == name)).cast("long").alias(f"n_{name}")
+
+    counts = [count(k.name) for k in base]
     return found.select(
         F.col("id").alias(id_col), *counts, F.sha2(spelled(F.col("base")), 256).alias("base_sha256"), spelled(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added")
     )
