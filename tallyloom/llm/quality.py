@@ -182,7 +182,9 @@ def keep_good(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] =
     model = fit(seen, "votes", rules)
     rows = with_stats(docs, text_col)
     good = ~base_failed(F.col("_q_stats")) & (model.column(votes("_q_stats", rules)) >= KEEP_AT)
-    return rows.filter(good).drop("_q_stats")
+    # A filter on the expression itself would be pushed below the steps of with_stats and evaluate them inside each
+    # other; a generated column stays where it is.
+    return rows.withColumn("_q_kept", F.explode(F.array(good))).filter("_q_kept").drop("_q_stats", "_q_kept")
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:

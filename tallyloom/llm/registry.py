@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import packing, simhash
+from tallyloom.llm import decontaminate, packing, quality, secrets, simhash, urls
 
 QUERIES = {
+    "op3_quality_rules": quality.op3_quality_rules,
+    "op4_secret_scans": secrets.op4_secret_scans,
+    "op6_benchmark_decontamination": decontaminate.op6_benchmark_decontamination,
+    "op7_url_filters": urls.op7_url_filters,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_packing": packing.op10_packing,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op6_benchmark_decontamination": decontaminate.OP6_SQL,
+    "op7_url_filters": urls.OP7_SQL,
+}

@@ -126,7 +126,7 @@ def scan(
     one = one.withColumn("value_hash", F.sha2(F.col("span.value"), 256)).distinct()
     owned = ownership(one, most_owners).filter("not example").select("value_hash", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     one = one.withColumn("salt", F.pmod(F.col("key"), F.lit(SALTS)).cast("int"))
-    live = one.join(owned, ["value_hash", "salt"]).groupBy(F.col("id").alias("id2"), F.col("key").alias("key2")).agg(F.collect_list("span").alias("added"))
+    live = one.join(owned.hint("merge"), ["value_hash", "salt"]).groupBy(F.col("id").alias("id2"), F.col("key").alias("key2")).agg(F.collect_list("span").alias("added"))
     same = F.col("id").eqNullSafe(F.col("id2")) & (F.col("key") == F.col("key2"))
     return rows.join(live, same, "left").select("id", "key", "base", F.coalesce("added", F.array().cast(f"array<{SPAN}>")).alias("added"))
 

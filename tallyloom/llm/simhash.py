@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.shared import connected_components, materialize
+from tallyloom.llm.shared import connected_components, materialize, text_key
 
 SALTS = 16
 
@@ -60,15 +60,16 @@ def _fingerprints(texts: list[str | None], size: int, seed: int) -> np.ndarray:
 
 
 def fingerprint_rows(docs: DataFrame, id_col: str, text_col: str, size: int = 4, seed: int = 42) -> DataFrame:
-    """(id, fp long) for every row; the id keeps its type."""
-    kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    """(id, key, fp long) for every row; the id keeps its type, the key tells rows of one id apart by their text."""
+    text = F.col(f"`{text_col}`").cast("string")
+    kept = docs.select(F.col(f"`{id_col}`").alias("id"), text_key(text).alias("key"), text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = _fingerprints(b.column(1).to_pylist(), size, seed).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["id", "fp"])
+            fps = _fingerprints(b.column(2).to_pylist(), size, seed).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps)], names=["id", "key", "fp"])
 
-    return kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, fp long")
+    return kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, key long, fp long")
 
 
 class BKTree:
@@ -212,7 +213,20 @@ def fingerprint_links(values: DataFrame, radius: int = 4, shard_cap: int = 4096,
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
+def components(docs: DataFrame, id_col: str, text_col: str, size: int = 4, radius: int = 4, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, key, fp), and (fp, n, first, label) of their distinct fingerprints.
+
+    ``first`` is the least (null id, id, text key) of the fingerprint's rows; ``label`` the least fingerprint reachable.
+    """
+    rows = materialize(fingerprint_rows(docs, id_col, text_col, size, seed), "fingerprints")
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key"))
+    firsts = materialize(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), least.alias("first")), "distinct-fingerprints")
+    links = materialize(fingerprint_links(firsts.select("fp"), radius), "fingerprint-links")
+    labels = connected_components(links).select(F.col("node").alias("fp"), "label")
+    return rows, materialize(firsts.join(labels, "fp", "left"), "labelled-fingerprints")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(id_col, fingerprint, component_id) for every row of ``docs``.
 
     ``component_id`` is the smallest id reachable over links. Null text counts as
@@ -220,16 +234,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     never names a component unless all its members have null ids; repeated rows
     stay repeated. Only ``id_col`` and ``text_col`` are read.
     """
-    rows = materialize(fingerprint_rows(docs, id_col, text_col, size, seed), "fingerprints")
-    firsts = materialize(rows.groupBy("fp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
-    labels = connected_components(fingerprint_links(firsts.select("fp"), radius))
-    own = firsts.join(labels, firsts.fp == labels.node, "left").select("fp", "first", "n", F.coalesce("label", "fp").alias("label"), F.col("label").isNotNull().alias("linked"))
-    own = materialize(own.filter("linked or n > 1"), "linked-fingerprints")
-    least = own.groupBy("label").agg(F.min("first").alias("component_id"))
+    rows, fps = components(docs, id_col, text_col, **options)
+    several = fps.filter("label is not null or n > 1").withColumn("label", F.coalesce("label", "fp"))
+    named = several.groupBy("label").agg(F.min("first").alias("least"))
     # Only fingerprints of several rows need a look-up; each is dealt to SALTS tasks, so a fingerprint of a third of all rows is not one task.
-    found = own.join(least, "label").select("fp", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    found = several.join(named, "label").select("fp", F.col("least.id").alias("component_id"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    out = salted.join(found.withColumn("found", F.lit(True)), ["fp", "salt"], "left")
+    out = salted.join(found.withColumn("found", F.lit(True)).hint("merge"), ["fp", "salt"], "left")
     return out.select(
         F.col("id").alias(id_col),
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
@@ -237,6 +248,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of each component, with its columns: the least id's (null ids last), then the least text hash's."""
+    rows, fps = components(docs, id_col, text_col, **options)
+    kept = fps.groupBy(F.coalesce("label", "fp").alias("label")).agg(F.min("first").alias("least"))
+    kept = materialize(kept.select(F.col("least.id").alias("_n_id"), F.col("least.key").alias("_n_key")).distinct(), "kept-rows")
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("_n_id")) & (F.col("_n_k") == F.col("_n_key"))
+    out = docs.withColumn("_n_k", text_key(F.col(f"`{text_col}`"))).join(kept, same, "left_semi")
+    if rows.groupBy("id", "key").count().filter("count > 1").limit(1).count():  # rows that repeat both id and text
+        out = out.dropDuplicates([id_col, "_n_k"])
+    return out.drop("_n_k")
+
+
 def op9_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
