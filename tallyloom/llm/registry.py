@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import decontaminate, discriminant, packing, quality, secrets, simhash, substrings, urls
+from tallyloom.llm import decontaminate, discriminant, packing, quality, secrets, simhash, substrings, urls, warc
 
 QUERIES = {
     "op2_substring_dedup": substrings.op2_substring_dedup,
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_secret_scans": secrets.op4_secret_scans,
+    "op5_warc": warc.op5_warc,
     "op6_benchmark_decontamination": decontaminate.op6_benchmark_decontamination,
     "op7_url_filters": urls.op7_url_filters,
     "op8_quality_classifier": discriminant.op8_quality_classifier,
