@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import decontaminate, discriminant, packing, quality, secrets, simhash, substrings, urls, warc
+from tallyloom.llm import backoff, decontaminate, discriminant, packing, quality, secrets, simhash, substrings, urls, warc
 
 QUERIES = {
+    "op1_lm_scoring": backoff.op1_lm_scoring,
     "op2_substring_dedup": substrings.op2_substring_dedup,
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_secret_scans": secrets.op4_secret_scans,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op1_lm_scoring": backoff.OP1_SQL,
     "op6_benchmark_decontamination": decontaminate.OP6_SQL,
     "op7_url_filters": urls.OP7_SQL,
 }
