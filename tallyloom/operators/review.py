@@ -6,11 +6,11 @@ import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallyloom.functions.columns import modal_level, threshold_value
+from tallyloom.functions.schemas import schema
 
-OVERRIDES = T.StructType.fromDDL("doc_id string, question_id string, human_answer string, reviewer string, ts timestamp, source_run_id string")
+OVERRIDES = schema("doc_id string, question_id string, human_answer string, reviewer string, ts timestamp, source_run_id string")
 
 
 def review_queue(cells: DataFrame, thresholds: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.functions.columns import micro_usd, state_json, state_of, state_tokens
+from tallyloom.functions.schemas import schema
 from tallyloom.operators.answering import BatchAnswerer, ColumnAnswerer
 from tallyloom.operators.chunking import aggregate_chunks, chunked
 from tallyloom.plans.questions import CONTEXT_LIMIT, MARGIN, CallGroup, ConfigError, QuestionSet, call_groups, diff, require_fields, usd_to_micro_usd
@@ -115,16 +116,16 @@ def open_run(root: str, qs: QuestionSet, source: str, id_field: str | None, resu
     return f"{root}/{run_id}"
 
 
-def _stored(spark, path: str, schema: T.StructType) -> DataFrame:
+def _stored(spark, path: str, kind: T.StructType) -> DataFrame:
     if os.path.isdir(path) and any(n.startswith("part-") or "=" in n for n in os.listdir(path)):
-        return spark.read.schema(schema).parquet(path)
-    return spark.createDataFrame([], schema)
+        return spark.read.schema(kind).parquet(path)
+    return spark.createDataFrame([], kind)
 
 
-CACHE = T.StructType.fromDDL(
+CACHE = schema(
     "cache_key string, type string, noul double, choice string, score double, probabilities map<string,double>, legend map<string,string>, confidence double, confidence_source string, model string, input_tokens bigint"
 )
-QUARANTINE = T.StructType.fromDDL("row_index bigint, doc_id string, reason string, raw string")
+QUARANTINE = schema("row_index bigint, doc_id string, reason string, raw string")
 
 
 def run(

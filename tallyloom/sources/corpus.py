@@ -6,11 +6,13 @@ import json
 import os
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CELL_SCHEMA = T.StructType.fromDDL(
+from tallyloom.functions.schemas import schema
+
+CELL_SCHEMA = schema(
     "doc_id string, question_id string, type string, noul double, choice string, score double, probabilities map<string,double>, legend map<string,string>, confidence double, confidence_source string, gate string, "
     "chunk_count int, projection_id string, call_id string, run_id string, model string, questionset_hash string, question_body_hash string, input_tokens bigint, ts timestamp"
 )
