@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.shared import WORD_GAP, materialize, text_key
+from tallyloom.llm.shared import WORD_GAP, boxed, materialize, text_key
 
 #: Sketch hashes (8 + 8 bytes each) that may be broadcast.
 BROADCAST_ROWS = 1_000_000
@@ -97,8 +97,8 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     """The rows of ``docs`` that contain no item, with their columns."""
     bad = contained(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), items, "id", "text", extra_key=True, **options)
     bad = materialize(bad.select(F.col("id").alias("_d_id"), F.col("key").alias("_d_key")).distinct(), "contaminated")
-    marked = docs.withColumn("_d_k", text_key(F.col(f"`{text_col}`")))
-    return marked.join(bad, F.col(f"`{id_col}`").eqNullSafe(F.col("_d_id")) & (F.col("_d_k") == F.col("_d_key")), "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    own = lambda c: F.col("_row").getField(c)
+    return boxed(docs).join(bad, own(id_col).eqNullSafe(F.col("_d_id")) & (text_key(own(text_col)) == F.col("_d_key")), "left_anti").select("_row.*")
 
 
 def op6_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from math import exp, log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.shared import materialize, words_of
+from tallyloom.llm.shared import boxed, materialize, words_of
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_marks")
 MIN_WORDS, MAX_REPEAT_PERCENT, KEEP_AT = 50, 50, 0.5
@@ -48,22 +48,22 @@ RULES = (
 )
 
 
-def with_stats(docs: DataFrame, text_col: str, prefix: str = "_q_") -> DataFrame:
-    """``docs`` with one struct column ``{prefix}stats``; other columns stay, whatever their names."""
-    name = lambda x: F.col(f"{prefix}{x}")
+def with_stats(docs: DataFrame, text_col: str) -> DataFrame:
+    """(_row, stats): the rows of ``docs`` as structs, and their statistics."""
+    name = F.col
     # Each step's columns are used twice or more, so no step is inlined into a later lambda.
-    df = docs.withColumns({f"{prefix}t": F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))})
-    df = df.withColumns({f"{prefix}w": words_of(name("t")), f"{prefix}l": F.filter(F.split(name("t"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
+    df = boxed(docs).withColumn("t", F.coalesce(F.col("_row").getField(text_col).cast("string"), F.lit("")))
+    df = df.withColumns({"w": words_of(name("t")), "l": F.filter(F.split(name("t"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
     w = name("w")
     tri = F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))).otherwise(F.array().cast("array<bigint>"))
-    df = df.withColumn(f"{prefix}h", tri)
+    df = df.withColumn("h", tri)
     h = name("h")
     placed = F.sort_array(F.arrays_zip(h.alias("h"), F.sequence(F.lit(0), F.size(h) - 1).alias("i")))
-    df = df.withColumn(f"{prefix}s", F.when(F.size(F.array_distinct(h)) < F.size(h), placed))
+    df = df.withColumn("s", F.when(F.size(F.array_distinct(h)) < F.size(h), placed))
     s = name("s")
     # Neighbours of equal hash: both their windows occur twice or more.
     twice = F.flatten(F.zip_with(s, F.slice(s, 2, F.greatest(F.size(s), F.lit(1))), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])).otherwise(F.array().cast("array<int>"))))
-    df = df.withColumn(f"{prefix}p", F.sort_array(F.array_distinct(twice)))
+    df = df.withColumn("p", F.sort_array(F.array_distinct(twice)))
     p = name("p")
     covered = F.aggregate(F.zip_with(p, F.slice(p, 2, F.greatest(F.size(p), F.lit(1))), lambda a, b: F.least(F.lit(3), F.coalesce(b - a, F.lit(3)))), F.lit(0), lambda x, y: x + y)
     stats = {
@@ -77,8 +77,7 @@ def with_stats(docs: DataFrame, text_col: str, prefix: str = "_q_") -> DataFrame
         "n_letters": F.regexp_count(name("t"), F.lit(r"\p{L}")),
         "n_marks": F.regexp_count(name("t"), F.lit(r"[!?]")),
     }
-    df = df.withColumn(f"{prefix}stats", F.struct(*(v.cast("long").alias(k) for k, v in stats.items())))
-    return df.select(*(F.col(f"`{c}`") for c in docs.columns), f"{prefix}stats")
+    return df.select("_row", F.struct(*(v.cast("long").alias(k) for k, v in stats.items())).alias("stats"))
 
 
 def base_failed(stats: Column) -> Column:
@@ -162,29 +161,29 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
     A null text counts as empty (no words: base_failed). Null ids and repeated
     rows keep their rows; other columns are not read. An empty table gives none.
     """
-    rows = with_stats(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), "text").select("id", "_q_stats")
-    rows = materialize(rows.select("id", "_q_stats", votes("_q_stats", rules).alias("votes")), "quality-votes")
+    rows = with_stats(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), "text")
+    rows = materialize(rows.select(F.col("_row.id").alias("id"), "stats", votes("stats", rules).alias("votes")), "quality-votes")
     model = fit(rows, "votes", rules)
     quality = model.column(F.col("votes"))
     return rows.select(
         F.col("id").alias(id_col),
-        *(F.col(f"_q_stats.{s}").alias(s) for s in STATS),
-        base_failed(F.col("_q_stats")).alias("base_failed"),
+        *(F.col(f"stats.{s}").alias(s) for s in STATS),
+        base_failed(F.col("stats")).alias("base_failed"),
         "votes",
         quality.alias("quality"),
-        (~base_failed(F.col("_q_stats")) & (quality >= KEEP_AT)).alias("kept"),
+        (~base_failed(F.col("stats")) & (quality >= KEEP_AT)).alias("kept"),
     )
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``docs`` that pass, with their columns. No exchange: the verdict is computed in the row."""
-    seen = with_stats(docs.select(F.col(f"`{text_col}`").alias("text")), "text").select(votes("_q_stats", rules).alias("votes"))
+    seen = with_stats(docs.select(F.col(f"`{text_col}`").alias("text")), "text").select(votes("stats", rules).alias("votes"))
     model = fit(seen, "votes", rules)
     rows = with_stats(docs, text_col)
-    good = ~base_failed(F.col("_q_stats")) & (model.column(votes("_q_stats", rules)) >= KEEP_AT)
+    good = ~base_failed(F.col("stats")) & (model.column(votes("stats", rules)) >= KEEP_AT)
     # A filter on the expression itself would be pushed below the steps of with_stats and evaluate them inside each
     # other; a generated column stays where it is.
-    return rows.withColumn("_q_kept", F.explode(F.array(good))).filter("_q_kept").drop("_q_stats", "_q_kept")
+    return rows.select("_row", F.explode(F.array(good)).alias("kept")).filter("kept").select("_row.*")
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:

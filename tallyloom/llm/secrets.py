@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.shared import materialize, text_key
+from tallyloom.llm.shared import boxed, materialize, text_key
 
 SALTS = 16
 
@@ -147,7 +147,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
     """``docs`` with every span's text replaced by ``mark``; overlapping spans become one. Columns stay; ``n_chars`` follows the text."""
     found = scan(docs, id_col, text_col, owner_col, **options).filter("size(base) + size(added) > 0")
     found = found.select(F.col("id").alias("_s_id"), F.col("key").alias("_s_key"), F.array_distinct(ordered(F.concat("base", "added"))).alias("_s_spans")).dropDuplicates(["_s_id", "_s_key"])
-    text = F.col(f"`{text_col}`")
+    own = lambda c: F.col("_row").getField(c)
+    text = own(text_col)
 
     def step(acc: Column, x: Column) -> Column:
         inside = x["start"] < acc["at"]
@@ -156,11 +157,12 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     clean = F.aggregate("_s_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    joined = docs.withColumn("_s_k", text_key(text)).join(found, F.col(f"`{id_col}`").eqNullSafe(F.col("_s_id")) & (F.col("_s_k") == F.col("_s_key")), "left")
-    out = joined.withColumn(text_col, F.when(F.col("_s_spans").isNull(), text).otherwise(clean))
+    out = boxed(docs).join(found, own(id_col).eqNullSafe(F.col("_s_id")) & (text_key(text) == F.col("_s_key")), "left")
+    out = out.select("_row", "_s_spans", F.when(F.col("_s_spans").isNotNull(), clean).alias("_s_text"))
+    new = {text_col: F.when(F.col("_s_spans").isNull(), text).otherwise(F.col("_s_text"))}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_s_spans").isNull(), F.col("n_chars")).otherwise(F.length(F.col(f"`{text_col}`")).cast(docs.schema["n_chars"].dataType)))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+        new["n_chars"] = F.when(F.col("_s_spans").isNull(), own("n_chars")).otherwise(F.length("_s_text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*(new.get(c, own(c)).alias(c) for c in docs.columns))
 
 
 def op4_secret_scans(spark, sf_dir: str) -> DataFrame:

@@ -57,6 +57,11 @@ def materialize(df: DataFrame, label: str, compression: str = "zstd") -> DataFra
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def boxed(docs: DataFrame) -> DataFrame:
+    """The rows as one struct column ``_row``, so that no column of theirs meets an operator's; ``select("_row.*")`` undoes it."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+
+
 def text_key(text: Column) -> Column:
     """Second half of a row's key: tells rows apart that repeat an id."""
     return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())

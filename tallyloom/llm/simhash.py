@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.shared import connected_components, materialize, text_key
+from tallyloom.llm.shared import boxed, connected_components, materialize, text_key
 
 SALTS = 16
 
@@ -253,11 +253,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     rows, fps = components(docs, id_col, text_col, **options)
     kept = fps.groupBy(F.coalesce("label", "fp").alias("label")).agg(F.min("first").alias("least"))
     kept = materialize(kept.select(F.col("least.id").alias("_n_id"), F.col("least.key").alias("_n_key")).distinct(), "kept-rows")
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("_n_id")) & (F.col("_n_k") == F.col("_n_key"))
-    out = docs.withColumn("_n_k", text_key(F.col(f"`{text_col}`"))).join(kept, same, "left_semi")
+    own = lambda c: F.col("_row").getField(c)
+    keyed = boxed(docs).select("_row", own(id_col).alias("_own_id"), text_key(own(text_col).cast("string")).alias("_own_key"))
+    out = keyed.join(kept, F.col("_own_id").eqNullSafe(F.col("_n_id")) & (F.col("_own_key") == F.col("_n_key")), "left_semi")
     if rows.groupBy("id", "key").count().filter("count > 1").limit(1).count():  # rows that repeat both id and text
-        out = out.dropDuplicates([id_col, "_n_k"])
-    return out.drop("_n_k")
+        out = out.dropDuplicates(["_own_id", "_own_key"])
+    return out.select("_row.*")
 
 
 def op9_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -157,14 +157,14 @@ def chunk_rows(texts: list[bytes], keys: np.ndarray, groups: int, window: int, m
     del order, s, new, again
     if known.any():
         k = at[known]
-        cut = runs_of(k)
+        cut = runs_of(k, doc[k])
         length = np.diff(np.append(cut, len(k)))
         d = doc[k[cut]]
         lo = k[cut] - first[d]
         rows = np.column_stack((keys[d], lo, lo + length + window - 1)).astype("<i8")
         yield int(mixed(keys[:1, 1].view(np.uint64))[0] % np.uint64(groups)), 1, rows.tobytes()
     at, anchor, whole = at[send], anchor[send], whole[send]
-    cut = runs_of(at, anchor)
+    cut = runs_of(at, anchor, doc[at])
     length = np.diff(np.append(cut, len(at)))
     d = doc[at[cut]]
     start, run_anchor = at[cut] - first[d], anchor[cut]

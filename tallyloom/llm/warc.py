@@ -48,7 +48,8 @@ def url_key(url: str | None) -> str:
     rest = (url or "").partition("://")[2] or (url or "")
     m = re.match(r"([^/?#]*)([^#]*)", rest)
     host, _, port = m[1].lower().rpartition("@")[2].partition(":")
-    return ",".join(reversed(host.split("."))) + (f":{port}" if port else "") + ")" + (m[2] or "/")
+    key = ",".join(reversed(host.split("."))) + (f":{port}" if port else "") + ")" + (m[2] or "/")
+    return re.sub(r"[\x00-\x20]", lambda x: f"%{ord(x[0]):02X}", key)
 
 
 def payload_digest(payload: bytes) -> str:
@@ -173,7 +174,7 @@ def write_index(captures: DataFrame, block: int = BLOCK) -> DataFrame:
         try:
             for b in batches:
                 for k, line in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    held.append((k.replace(" ", "%20"), line))
+                    held.append((k, line))
                     if len(held) == block:
                         flush()
             if held:
@@ -207,7 +208,7 @@ class Lookup:
         self.firsts = [d["first_key"] for d in self.blocks]
 
     def captures(self, url: str) -> list[dict]:
-        key, out = url_key(url).replace(" ", "%20"), []
+        key, out = url_key(url), []
         k = max(0, bisect.bisect_left(self.firsts, key) - 1)
         while k < len(self.blocks) and self.blocks[k]["first_key"] <= key:
             d = self.blocks[k]
@@ -254,7 +255,7 @@ def read_archives(directory: DataFrame, id_type: str) -> DataFrame:
                 digest = r["WARC-Payload-Digest"].removeprefix("sha1:")
                 if r["WARC-Type"] == "response" and payload_digest(r["payload"]) != digest:
                     raise ValueError(f"{file} at {offset}: the payload does not fit its digest")
-                rows.append((i, int(r["X-Payload-Length"]), digest, r["WARC-Type"], refers[10:-1] if refers else None, r["payload"].decode()))
+                rows.append((i, int(r["X-Payload-Length"]), digest, r["WARC-Type"], (refers[10:-1] or None) if refers else None, r["payload"].decode()))
                 if len(rows) == 500:
                     yield batch(rows)
                     rows = []
