@@ -5,7 +5,10 @@ of variable length: from the suffix's first word to the end of its anchor, the
 run of ``PREFIX`` words of least hash among those its first ``window`` words
 hold. Suffixes that agree in ``window`` words have the same anchor and so the
 same group; the anchor depends on those words only. A group holds some millions
-of suffixes whatever the table's size, as the number of groups follows it.
+of suffixes whatever the table's size, as the number of groups follows it. A first
+pass counts the suffixes of every anchor; those of an anchor too large for a group
+(a line that a third of all rows hold, each time between other words) get a longer
+prefix: they are dealt by all their ``window`` words.
 
 Inside a group the suffixes are sorted by anchor and by their first ``window``
 words (as hashes), which is the leaf order of the group's suffix tree cut at
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.shared import materialize, text_key
 
-PREFIX, CHUNK, GROUP = 8, 1_000_000, 3_000_000
+PREFIX, CHUNK, GROUP, MOST_HEAVY = 8, 1_000_000, 3_000_000, 1_000_000
 #: Bytes of ranges that may be broadcast to the texts instead of shuffling the texts.
 BROADCAST_BYTES = 48_000_000
 BASE = 0x9E3779B97F4A7C15
@@ -134,15 +137,61 @@ def runs_of(at: np.ndarray, *same: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def chunk_rows(texts: list[bytes], keys: np.ndarray, groups: int, window: int, memo: Memo) -> Iterator[tuple[int, int, bytes]]:
-    """(group, kind, blob) of one chunk: kind 0 are suffixes to compare, kind 1 ranges that are decided here."""
+def chunk_suffixes(texts: list[bytes], window: int, memo: Memo) -> tuple[np.ndarray, ...]:
+    """(row of each word, first word of each row) of one chunk, and its suffixes."""
     words = [t.split() for t in texts]
     counts = np.fromiter(map(len, words), np.int64, len(words))
     hashes = np.fromiter((memo[w] for ws in words for w in ws), np.uint64, int(counts.sum()))
     del words
     doc = np.repeat(np.arange(len(counts)), counts)
-    first = np.cumsum(counts) - counts
-    at, anchor, whole = suffixes(hashes, doc, window)
+    return doc, np.cumsum(counts) - counts, *suffixes(hashes, doc, window)
+
+
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
+    """(keys, texts) of about ``CHUNK`` words at a time, from batches whose last column is the text."""
+    texts, keys, held = [], [], 0
+    for b in batches:
+        for lo in range(0, b.num_rows, 500):
+            s = b.slice(lo, 500)
+            for *key, t in zip(*(c.to_pylist() for c in s.columns), strict=True):
+                texts.append(t)
+                keys.append(key)
+                held += len(t)
+                if held >= 6 * CHUNK:
+                    yield keys, texts
+                    texts, keys, held = [], [], 0
+    if texts:
+        yield keys, texts
+
+
+def bucket(anchor: np.ndarray) -> np.ndarray:
+    return (anchor & np.uint64(0x7FFFFFFF)).astype(np.int32)
+
+
+def heavy_anchors(rows: DataFrame, window: int) -> np.ndarray:
+    """Sorted buckets of the anchors with more suffixes than a quarter of a group.
+
+    If they are more than ``MOST_HEAVY``, those of more than that part of all their suffixes: so they are never more.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Memo()
+        for _, texts in chunks(batches):
+            b, n = np.unique(bucket(chunk_suffixes(texts, window, memo)[3]), return_counts=True)
+            for lo in range(0, len(b), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(b[lo : lo + 100_000]), pa.array(n[lo : lo + 100_000])], names=["bucket", "n"])
+
+    loads = rows.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") > GROUP // 4)
+    loads = materialize(loads, "heavy-anchors")
+    n, total = loads.agg(F.count(F.lit(1)), F.sum("n")).first()
+    if n > MOST_HEAVY:
+        loads = loads.filter(F.col("n") > total / MOST_HEAVY)
+    return np.sort(np.array([r[0] for r in loads.select("bucket").collect()], np.int32))
+
+
+def chunk_rows(texts: list[bytes], keys: np.ndarray, groups: int, window: int, memo: Memo, heavy: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """(group, kind, blob) of one chunk: kind 0 are suffixes to compare, kind 1 ranges that are decided here."""
+    doc, first, at, anchor, whole = chunk_suffixes(texts, window, memo)
     if not len(at):
         return
     order = np.argsort(whole, kind="stable")
@@ -164,11 +213,15 @@ def chunk_rows(texts: list[bytes], keys: np.ndarray, groups: int, window: int, m
         rows = np.column_stack((keys[d], lo, lo + length + window - 1)).astype("<i8")
         yield int(mixed(keys[:1, 1].view(np.uint64))[0] % np.uint64(groups)), 1, rows.tobytes()
     at, anchor, whole = at[send], anchor[send], whole[send]
-    cut = runs_of(at, anchor, doc[at])
+    deal = anchor
+    if len(heavy):
+        b = bucket(anchor)
+        deal = np.where(heavy[np.minimum(np.searchsorted(heavy, b), len(heavy) - 1)] == b, mixed(whole), anchor)
+    cut = runs_of(at, anchor, deal, doc[at])
     length = np.diff(np.append(cut, len(at)))
     d = doc[at[cut]]
     start, run_anchor = at[cut] - first[d], anchor[cut]
-    group = (run_anchor % np.uint64(groups)).astype(np.int64)
+    group = (deal[cut] % np.uint64(groups)).astype(np.int64)
     by = np.argsort(group, kind="stable")
     ends = np.cumsum(length)
     # places of the suffixes, run after run in the groups' order
@@ -192,30 +245,18 @@ def repeated_ranges(docs: DataFrame, id_col: str, text_col: str, window: int = 3
     groups = max(32, chars // 6 // GROUP + 1)
     rows = docs.select(F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{id_col}`").isNull()).alias("k1"), text_key(text).alias("k2"), F.encode(F.coalesce(text, F.lit("")), "utf-8").alias("text"))
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, texts, keys, held = Memo(), [], [], 0
+    heavy = docs.sparkSession.sparkContext.broadcast(heavy_anchors(rows, window).tobytes())
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            out = list(chunk_rows(texts, np.array(keys, np.int64).reshape(-1, 2), groups, window, memo))
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, dealt = Memo(), np.frombuffer(heavy.value, np.int32)
+        for keys, texts in chunks(batches):
+            out = list(chunk_rows(texts, np.array(keys, np.int64).reshape(-1, 2), groups, window, memo, dealt))
             for lo in range(0, len(out), 16):
                 part = out[lo : lo + 16]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x[0] for x in part], pa.int64()), pa.array([x[1] for x in part], pa.int32()), pa.array([x[2] for x in part], pa.binary())], names=["g", "kind", "blob"]
                 )
 
-        for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                s = b.slice(lo, 500)
-                for k1, k2, t in zip(s.column(0).to_pylist(), s.column(1).to_pylist(), s.column(2).to_pylist(), strict=True):
-                    texts.append(t)
-                    keys.append((k1, k2))
-                    held += len(t)
-                    if held >= 6 * CHUNK:
-                        yield from flush()
-                        texts, keys, held = [], [], 0
-        if texts:
-            yield from flush()
-
     def compare(t: pa.Table) -> pa.Table:
         kinds, blobs = t.column("kind").to_pylist(), t.column("blob").to_pylist()
         out = [np.frombuffer(b, "<i8").reshape(-1, 4) for k, b in zip(kinds, blobs, strict=True) if k == 1]
@@ -255,7 +296,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     all; of repeated rows every one loses its windows. Null ids keep their rows; other columns are not read.
     """
     ranges = repeated_ranges(docs, id_col, text_col, window)
-    ranges = materialize(ranges.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "repeated-ranges")
+    ranges = materialize(ranges.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "repeated-ranges")
     size = ranges.agg(F.sum(F.size("ranges") * 16 + 32).alias("n")).first()["n"] or 0
     side = F.broadcast(ranges) if size <= BROADCAST_BYTES else ranges.hint("merge")
     text = F.col(f"`{text_col}`").cast("string")
