@@ -15,7 +15,16 @@ own entries and sums by row. A word is sent as its rank if it is among the
 ``HOT`` most frequent (a table of bounded size that every task holds) and as its
 64-bit hash otherwise. Where a score needs the count of such a colder word, the
 group leaves a request, and a second join by hash group meets it with the word
-counts. No word or bigram is dropped for being rare, frequent or many.
+counts.
+
+The rows of a bigram that a third of all texts hold would fill one group. So the
+``HEAVY`` most frequent bigrams of hot words, found in the pass that counts words,
+go another way: each task sums their counts, their rows stay with their chunk, and
+the counts (a table of bounded size) come to the chunks. A bigram that is not among
+those occurs less than ``OFTEN`` times in every chunk, or less often than ``HEAVY``
+others, or has a word less frequent than ``HOT`` others; each bounds its rows by a
+small part of the table. No word or bigram is dropped for being rare, frequent or
+many, and the scores do not depend on which way a bigram goes.
 """
 
 from __future__ import annotations
@@ -33,7 +42,7 @@ from pyspark.sql import functions as F
 from tallyloom.llm.shared import materialize
 from tallyloom.llm.substrings import Memo, mixed
 
-ALPHA, MIN_DOCS, HOT, CHUNK, GROUP = 0.4, 2, 65_000, 1_000_000, 4_000_000
+ALPHA, MIN_DOCS, HOT, HEAVY, OFTEN, CHUNK, GROUP = 0.4, 2, 65_000, 65_000, 4, 1_000_000, 1_500_000
 COLD = 65_535
 HEAD = struct.Struct("<qIII")
 
@@ -61,17 +70,41 @@ def chunks(batches: Iterator[pa.RecordBatch], memo: Memo) -> Iterator[tuple[int,
         yield out()
 
 
+def predecessors(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Hash of the word before each; 0 before a text's first word."""
+    before = np.empty(len(h), np.uint64)
+    before[1:] = h[:-1]
+    before[(np.cumsum(n) - n)[n > 0]] = 0
+    return before
+
+
+def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mixed(first * np.uint64(0x9E3779B97F4A7C15) + second)
+
+
 def word_counts(rows: DataFrame) -> DataFrame:
-    """(w, c): 64-bit hash of each word (A-Z in lower case) and its occurrences."""
+    """(v, w, c): 64-bit hash w of each word (A-Z in lower case) with its occurrences, v null; and bigrams (v, w) with
+    their occurrences in the chunks that hold them ``OFTEN`` times or more.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo()
-        for _, _, h, _ in chunks(batches, memo):
+        for _, _, h, n in chunks(batches, memo):
             w, c = np.unique(h, return_counts=True)
-            for lo in range(0, len(w), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(w[lo : lo + 100_000].view(np.int64)), pa.array(c[lo : lo + 100_000])], names=["w", "c"])
+            yield from made(None, w, c)
+            if len(h):
+                before = predecessors(h, n)
+                _, at, c = np.unique(pair_hash(before, h), return_index=True, return_counts=True)
+                at, c = at[c >= OFTEN], c[c >= OFTEN]
+                yield from made(before[at], h[at], c)
+
+    def made(v: np.ndarray | None, w: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(w), 100_000):
+            own = slice(lo, lo + 100_000)
+            first = pa.nulls(len(w[own]), pa.int64()) if v is None else pa.array(v[own].view(np.int64))
+            yield pa.RecordBatch.from_arrays([first, pa.array(w[own].view(np.int64)), pa.array(c[own])], names=["v", "w", "c"])
 
-    return rows.mapInArrow(run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
+    return rows.mapInArrow(run, "v long, w long, c long").groupBy("v", "w").agg(F.sum("c").alias("c"))
 
 
 class HotWords:
@@ -96,6 +129,42 @@ class HotWords:
         return out
 
 
+class HeavyPairs:
+    """Bigrams of hot words that go another way."""
+
+    def __init__(self, first: np.ndarray, second: np.ndarray, hot: HotWords) -> None:
+        pair = pair_hash(first, second)
+        own = np.flatnonzero((hot.ranks(second) != COLD) & ((first == 0) | (hot.ranks(first) != COLD)))
+        self.pair, at = np.unique(pair[own], return_index=True)
+        self.first, self.second = first[own][at], second[own][at]
+
+    def numbers(self, pair: np.ndarray) -> np.ndarray:
+        """Place of each pair hash, or -1."""
+        if not len(self.pair):
+            return np.full(len(pair), -1)
+        at = np.minimum(np.searchsorted(self.pair, pair), len(self.pair) - 1)
+        return np.where(self.pair[at] == pair, at, -1)
+
+
+def heavy_rows(row: np.ndarray, no: np.ndarray, times: np.ndarray, n_rows: int) -> bytes:
+    """A chunk's entries of heavy bigrams: row by row their numbers (16 bits) and times (8 bits; more are split)."""
+    by = np.argsort(row, kind="stable")
+    row, no, times = row[by], no[by], times[by]
+    parts = (times + 254) // 255
+    t = np.full(int(parts.sum()), 255, np.uint8)
+    t[np.cumsum(parts) - 1] = times - 255 * (parts - 1)
+    each = np.bincount(np.repeat(row, parts), minlength=n_rows)
+    return struct.pack("<II", n_rows, len(t)) + each.astype("<u4").tobytes() + np.repeat(no, parts).astype("<u2").tobytes() + t.tobytes()
+
+
+def heavy_sums(blob: bytes, value: np.ndarray, back: np.ndarray) -> np.ndarray:
+    """By row: sums of the entries' log scores, and how many are backed off."""
+    n, m = struct.unpack_from("<II", blob)
+    row = np.repeat(np.arange(n), np.frombuffer(blob, "<u4", n, 8))
+    no, t = np.frombuffer(blob, "<u2", m, 8 + 4 * n), np.frombuffer(blob, np.uint8, m, 8 + 4 * n + 2 * m)
+    return np.stack([np.bincount(row, x[no] * t, n) for x in (value, back)])
+
+
 def encoded(uid: int, hot: HotWords, first: np.ndarray, second: np.ndarray, n_rows: np.ndarray, row: np.ndarray, times: np.ndarray) -> bytes:
     a, b = hot.ranks(first), hot.ranks(second)
     ca, cb = first[a == COLD], second[b == COLD]
@@ -117,15 +186,15 @@ def decoded(blob: bytes, hot: HotWords) -> tuple:
     return uid, hot.hashes(a, ca), hot.hashes(b, cb), n_rows.astype(np.int64), row.astype(np.int64), times.astype(np.int64)
 
 
-def entries(h: np.ndarray, n: np.ndarray, hot: HotWords, groups: int, uid: int) -> Iterator[tuple[int, bytes]]:
-    """(group, blob) of a chunk's bigrams; the first word of a text follows the hash 0."""
+def entries(h: np.ndarray, n: np.ndarray, hot: HotWords, heavy: HeavyPairs, tally: np.ndarray, groups: int, uid: int) -> Iterator[tuple[int | None, bytes]]:
+    """(group, blob) of a chunk's bigrams; the first word of a text follows the hash 0. Group None: those of heavy ones,
+    whose occurrences and rows are added to ``tally``.
+    """
     if not len(h):
         return
     row = np.repeat(np.arange(len(n)), n)
-    before = np.empty(len(h), np.uint64)
-    before[1:] = h[:-1]
-    before[(np.cumsum(n) - n)[n > 0]] = 0
-    pair = mixed(before * np.uint64(0x9E3779B97F4A7C15) + h)
+    before = predecessors(h, n)
+    pair = pair_hash(before, h)
     order = np.lexsort((row, pair))
     p, r = pair[order], row[order]
     new = np.append(True, (p[1:] != p[:-1]) | (r[1:] != r[:-1]))
@@ -134,6 +203,17 @@ def entries(h: np.ndarray, n: np.ndarray, hot: HotWords, groups: int, uid: int)
     p, r, k = p[cut], r[cut], order[cut]
     head = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
     n_rows = np.diff(np.append(head, len(p)))
+    no = heavy.numbers(p[head])
+    if (no >= 0).any():
+        own = no >= 0
+        tally[0, no[own]] += np.add.reduceat(times, head)[own]
+        tally[1, no[own]] += n_rows[own]
+        each = np.repeat(own, n_rows)
+        yield None, heavy_rows(r[each], np.repeat(no[own], n_rows[own]), times[each], len(n))
+        p, r, k, times, n_rows = p[~each], r[~each], k[~each], times[~each], n_rows[~own]
+        head = np.cumsum(n_rows) - n_rows
+    if not len(p):
+        return
     group = (p[head] % np.uint64(groups)).astype(np.int64)
     by = np.argsort(group, kind="stable")
     ends = np.cumsum(n_rows)
@@ -158,30 +238,43 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alph
     text = F.encode(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), "utf-8")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
-    words = materialize(word_counts(rows), "word-counts")
+    counted_words = materialize(word_counts(rows), "word-counts")
+    words = counted_words.filter("v is null").select("w", "c")
     total = words.agg(F.sum("c").alias("n")).first()["n"] or 0
     top = words.orderBy(F.desc("c"), "w").limit(HOT).collect()  # HOT rows: which words travel as ranks, nothing else
     hot = HotWords(np.array([r["w"] for r in top], np.int64).view(np.uint64), np.array([r["c"] for r in top], np.int64))
     groups = max(16, total // GROUP + 1)
-    shared_hot = docs.sparkSession.sparkContext.broadcast((hot.w.tobytes(), hot.c.tobytes()))
+    pairs = counted_words.filter("v is not null").orderBy(F.desc("c"), "v", "w").limit(HEAVY).select("v", "w").collect()  # HEAVY rows, likewise
+    heavy = HeavyPairs(*(np.array([r[c] for r in pairs], np.int64).view(np.uint64) for c in ("v", "w")), hot)
+    n_heavy = len(heavy.pair)
+    shared_hot = docs.sparkSession.sparkContext.broadcast((hot.w.tobytes(), hot.c.tobytes(), heavy.first.tobytes(), heavy.second.tobytes()))
 
     def table() -> HotWords:
-        w, c = shared_hot.value
+        w, c = shared_hot.value[:2]
         return HotWords(np.frombuffer(w, np.uint64), np.frombuffer(c, np.int64))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, held, part = Memo(), table(), TaskContext.get().partitionId()
+        heavies = HeavyPairs(*(np.frombuffer(x, np.uint64) for x in shared_hot.value[2:]), held)
+        tally, kind_of = np.zeros((2, n_heavy), np.int64), None
         for k, ids, h, n in chunks(batches, memo):
+            kind_of = batch_type(ids)
             mark = xxhash.xxh64_intdigest(h.tobytes() + n.tobytes() + struct.pack("<qq", part, k)) >> 1
             for lo in range(0, len(ids), 1000):  # kind 1: the chunk's rows
                 part_ids = pa.array([i.as_py() for i in ids[lo : lo + 1000]], batch_type(ids))
                 m = len(part_ids)
                 yield made([mark] * m, [1] * m, list(range(lo, lo + m)), [None] * m, part_ids, n[lo : lo + m])
-            out = list(entries(h, n, held, groups, mark))
+            out = list(entries(h, n, held, heavies, tally, groups, mark))
             for lo in range(0, len(out), 8):
                 some = out[lo : lo + 8]
                 m = len(some)
-                yield made([g for g, _ in some], [0] * m, [0] * m, [b for _, b in some], pa.nulls(m, batch_type(ids)), np.zeros(m, np.int64))
+                yield made([mark if g is None else g for g, _ in some], [4 if g is None else 0 for g, _ in some], [0] * m, [b for _, b in some], pa.nulls(m, kind_of), np.zeros(m, np.int64))
+        if tally.any():
+            yield made([part % groups], [3], [0], [tallied(tally)], pa.nulls(1, kind_of), np.zeros(1, np.int64))
+
+    def tallied(tally: np.ndarray) -> bytes:
+        own = np.flatnonzero(tally[1])
+        return own.astype("<i8").tobytes() + tally[:, own].astype("<i8").tobytes()
 
     def batch_type(ids: list) -> pa.DataType:
         return ids[0].type
@@ -193,15 +286,25 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alph
     log_n, log_a = float(np.log(max(1, total))), float(np.log(alpha))
 
     def count(t: pa.Table) -> pa.Table:
-        """A group's part of the rows' sums (kind 0), its requests by word hash (kind 2), and rows passed on (kind 1)."""
+        """A group's part of the rows' sums (kind 0), its requests by word hash (kind 2), its tasks' tallies of heavy
+        bigrams (kind 3), and rows (kind 1) and their heavy bigrams (kind 4) passed on.
+        """
         kinds = t.column("kind").to_numpy()
-        rows_in = t.filter(pa.array(kinds == 1))
+        rows_in = t.filter(pa.array((kinds == 1) | (kinds == 4)))
         out = [pa.table({"kind": rows_in["kind"], "g": rows_in["g"], "row": rows_in["row"], "id": rows_in["id"], "n": rows_in["n"], "blob": rows_in["blob"]})]
+        if (kinds == 3).any():
+            tally = np.zeros((2, n_heavy), np.int64)
+            for b in t.filter(pa.array(kinds == 3)).column("blob").to_pylist():
+                own, c2, df = np.frombuffer(b, "<i8").reshape(3, -1)
+                tally[:, own] += np.stack([c2, df])
+            out.append(sum_rows([0], [tallied(tally)], t, 3))
+        if not (kinds == 0).any():
+            return pa.concat_tables(out).select(["kind", "g", "row", "id", "n", "blob"])
         held = table()
         blobs = [decoded(b, held) for b in t.filter(pa.array(kinds == 0)).column("blob").to_pylist()]
         if blobs:
             first, second = (np.concatenate([b[k] for b in blobs]) for k in (1, 2))
-            pair = mixed(first * np.uint64(0x9E3779B97F4A7C15) + second)
+            pair = pair_hash(first, second)
             n_rows = np.concatenate([b[3] for b in blobs])
             times = np.concatenate([b[5] for b in blobs])
             each = np.add.reduceat(times, np.cumsum(n_rows) - n_rows)
@@ -237,7 +340,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alph
                 lo += len(f)
                 at += len(row)
             uids = list(some)
-            out.append(sum_rows(uids, [(some[u][0], some[u][1]) for u in uids], t))
+            out.append(sum_rows(uids, [np.concatenate(some[u]).astype("<f8").tobytes() for u in uids], t))
             if asked:
                 uid, w, row, k = (np.concatenate([a[i] for a in asked]) for i in range(4))
                 g = (w % np.uint64(groups)).astype(np.int64)
@@ -253,10 +356,10 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alph
                 out.append(pa.table({"kind": pa.array([2] * m, pa.int32()), "g": pa.array(g[edges]), "row": pa.array([0] * m, pa.int64()), "id": pa.nulls(m, t.schema.field("id").type), "n": pa.array([0] * m, pa.int64()), "blob": pa.array(packs, pa.binary())}))
         return pa.concat_tables(out).select(["kind", "g", "row", "id", "n", "blob"])
 
-    def sum_rows(uids: list[int], sums: list[tuple], t: pa.Table) -> pa.Table:
+    def sum_rows(uids: list[int], blobs: list[bytes], t: pa.Table, kind: int = 0) -> pa.Table:
         m = len(uids)
         return pa.table(
-            {"kind": pa.array([0] * m, pa.int32()), "g": pa.array(uids, pa.int64()), "row": pa.array([0] * m, pa.int64()), "id": pa.nulls(m, t.schema.field("id").type), "n": pa.array([0] * m, pa.int64()), "blob": pa.array([np.concatenate(x).astype("<f8").tobytes() for x in sums], pa.binary())}
+            {"kind": pa.array([kind] * m, pa.int32()), "g": pa.array(uids, pa.int64()), "row": pa.array([0] * m, pa.int64()), "id": pa.nulls(m, t.schema.field("id").type), "n": pa.array([0] * m, pa.int64()), "blob": pa.array(blobs, pa.binary())}
         )
 
     schema = f"kind int, g long, row long, id {id_type}, n long, blob binary"
@@ -289,17 +392,35 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alph
                 some[u] = old
         return pa.table({"g": pa.array(list(some), pa.int64()), "blob": pa.array([np.concatenate((x, np.zeros(len(x)))).astype("<f8").tobytes() for x in some.values()], pa.binary())})
 
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for blob in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.frombuffer(blob, "<i8").reshape(3, -1)], names=["no", "c", "df"])
+
+    tallies = counted.filter("kind = 3").select("blob").mapInArrow(expand, "no long, c long, df long")
+    value, back = np.zeros(n_heavy), np.zeros(n_heavy)
+    for no, c, df in tallies.groupBy("no").agg(F.sum("c"), F.sum("df")).collect():  # n_heavy rows
+        own = [hot.c[hot.ranks(x[no : no + 1])[0]] if x[no] else 0 for x in (heavy.first, heavy.second)]
+        if not heavy.first[no]:
+            value[no] = np.log(own[1]) - log_n
+        elif df >= min_docs:
+            value[no] = np.log(c) - np.log(own[0])
+        else:
+            value[no], back[no] = log_a + np.log(own[1]) - log_n, 1
+    heavy_values = docs.sparkSession.sparkContext.broadcast((value.tobytes(), back.tobytes()))
+
     asked = counted.filter("kind = 2").select("g", "blob")
     keyed = words.select(F.col("w"), F.col("c"), group_of(F.col("w"), groups).alias("g"))
     answers = asked.groupBy("g").cogroup(keyed.groupBy("g")).applyInArrow(answer, "g long, blob binary")
-    sums = counted.filter("kind = 0").select("g", "blob").union(answers)
+    sums = counted.filter("kind in (0, 4)").select("kind", "g", "blob").union(answers.select(F.lit(0), "g", "blob"))
 
     def finish(key, parts: pa.Table, listed: pa.Table) -> pa.Table:
         """A chunk's rows with their sums."""
         row, n = listed.column("row").to_numpy(), listed.column("n").to_numpy()
         total_of = np.zeros((2, int(row.max()) + 1 if len(row) else 0))
-        for blob in parts.column("blob").to_pylist():
-            x = np.frombuffer(blob, "<f8").reshape(2, -1)
+        table_of = [np.frombuffer(x) for x in heavy_values.value]
+        for kind, blob in zip(parts.column("kind").to_pylist(), parts.column("blob").to_pylist(), strict=True):
+            x = heavy_sums(blob, *table_of) if kind == 4 else np.frombuffer(blob, "<f8").reshape(2, -1)
             total_of[:, : x.shape[1]] += x
         s, b = total_of[0][row], np.rint(total_of[1][row]).astype(np.int64)
         mean = pa.array(s / np.maximum(n, 1), mask=n == 0)

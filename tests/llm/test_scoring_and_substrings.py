@@ -48,9 +48,12 @@ def test_scores_of_odd_rows_equal_brute_force(spark):
     assert close(rounded(backoff.scores(odd_docs(spark))), scored(odd_rows()))
 
 
-@pytest.mark.parametrize("hot", [0, 3, 40])
-def test_scores_do_not_depend_on_what_travels_as_rank(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "heavy", "often"), [(0, 9, 1), (3, 0, 4), (40, 20, 1), (40, 1000, 2), (1000, 1000, 1)])
+def test_scores_do_not_depend_on_the_way_of_words_and_bigrams(spark, monkeypatch, hot, heavy, often):
     monkeypatch.setattr(backoff, "HOT", hot)
+    monkeypatch.setattr(backoff, "HEAVY", heavy)
+    monkeypatch.setattr(backoff, "OFTEN", often)
+    monkeypatch.setattr(backoff, "GROUP", 500)
     monkeypatch.setattr(backoff, "CHUNK", 100)
     assert close(rounded(backoff.scores(odd_docs(spark).repartition(3))), scored(odd_rows()))
 
