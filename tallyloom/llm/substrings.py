@@ -38,7 +38,7 @@ from tallyloom.llm.shared import materialize, text_key
 
 PREFIX, CHUNK, GROUP, MOST_HEAVY = 8, 1_000_000, 3_000_000, 1_000_000
 #: Bytes of ranges that may be broadcast to the texts instead of shuffling the texts.
-BROADCAST_BYTES = 48_000_000
+BROADCAST_BYTES = 4_000_000
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -47,7 +47,7 @@ class Memo(dict):
     """Hashes of words. Emptied when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 300_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
