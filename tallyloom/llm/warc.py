@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from tallyloom.llm.shared import materialize, shared_path
 
 BLOCK, SALTS, LEVEL = 2000, 16, 4
+#: Bytes of archives that a task reads.
+READ_BYTES = 64 << 20
 DATE = "2020-01-01T00:00:00Z"
 
 
@@ -152,29 +154,30 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 
 
 def write_index(captures: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Block directory (first_key, last_key, file, offset, length, n, folder), a row per block of ``block`` captures."""
+    """Block directory (first_key, last_key, file, offset, length, n, record_bytes, folder), a row per block of ``block`` captures."""
     folder = shared_path(captures.sparkSession, "capture-index")
-    rows = captures.select("key", F.to_json(F.struct(F.col("id").cast("string").alias("id"), "url", "digest", "folder", "file", "offset", "length")).alias("line"))
+    rows = captures.select("key", F.to_json(F.struct(F.col("id").cast("string").alias("id"), "url", "digest", "folder", "file", "offset", "length")).alias("line"), F.col("length").alias("size"))
     rows = rows.repartitionByRange("key", F.xxhash64("line")).sortWithinPartitions("key", "line")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = file_system(folder)
         fs.create_dir(base, recursive=True)
-        name, out, at, held, done = f"{uuid.uuid4().hex}.idx", None, 0, [], []
+        name, out, at, size, held, done = f"{uuid.uuid4().hex}.idx", None, 0, 0, [], []
 
         def flush() -> None:
-            nonlocal out, at
+            nonlocal out, at, size
             out = out or fs.open_output_stream(f"{base}/{name}", compression=None)
             data = zlib.compress("\n".join(f"{k} {x}" for k, x in held).encode(), 6)
             out.write(data)
-            done.append((held[0][0], held[-1][0], name, at, len(data), len(held)))
-            at += len(data)
+            done.append((held[0][0], held[-1][0], name, at, len(data), len(held), size))
+            at, size = at + len(data), 0
             held.clear()
 
         try:
             for b in batches:
-                for k, line in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for k, line, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     held.append((k, line))
+                    size += n
                     if len(held) == block:
                         flush()
             if held:
@@ -182,10 +185,10 @@ def write_index(captures: DataFrame, block: int = BLOCK) -> DataFrame:
         finally:
             if out is not None:
                 out.close()
-        kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate(kinds)], names=["first_key", "last_key", "file", "offset", "length", "n"])
+        kinds = (pa.string(), pa.string(), pa.string(), *[pa.int64()] * 4)
+        yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate(kinds)], names=["first_key", "last_key", "file", "offset", "length", "n", "record_bytes"])
 
-    found = rows.mapInArrow(run, "first_key string, last_key string, file string, offset long, length long, n long")
+    found = rows.mapInArrow(run, "first_key string, last_key string, file string, offset long, length long, n long, record_bytes long")
     return materialize(found.withColumn("folder", F.lit(folder)), "block-directory")
 
 
@@ -234,8 +237,11 @@ def read_archives(directory: DataFrame, id_type: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, names=["id", "folder", "file", "offset", "length"])
 
     spots = directory.select("folder", "file", "offset", "length").mapInArrow(expand, "id string, folder string, file string, offset long, length long")
-    # Ranges of one archive are read together and in order; 64 MB of an archive at most go to one task.
-    spots = spots.withColumn("part", F.floor(F.col("offset") / (64 << 20))).repartition("file", "part").sortWithinPartitions("file", "offset")
+    # Ranges of one archive are read together and in order. The number of tasks follows the archives' bytes: the rows
+    # dealt here are small, and would be coalesced into few tasks if it were left open.
+    total = directory.agg(F.sum("record_bytes").alias("n")).first()["n"] or 0
+    tasks = max(directory.sparkSession.sparkContext.defaultParallelism, 2 * (total // READ_BYTES + 1))
+    spots = spots.withColumn("part", F.floor(F.col("offset") / (READ_BYTES // 8))).repartition(tasks, "file", "part").sortWithinPartitions("file", "offset")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, held, (start, data) = None, None, (0, b"")
