@@ -77,7 +77,8 @@ def with_stats(docs: DataFrame, text_col: str) -> DataFrame:
         "n_letters": F.regexp_count(name("t"), F.lit(r"\p{L}")),
         "n_marks": F.regexp_count(name("t"), F.lit(r"[!?]")),
     }
-    return df.select("_row", F.struct(*(v.cast("long").alias(k) for k, v in stats.items())).alias("stats"))
+    # A generated column: rules that read it don't evaluate its expressions again, each for itself.
+    return df.select("_row", F.explode(F.array(F.struct(*(v.cast("long").alias(k) for k, v in stats.items())))).alias("stats"))
 
 
 def base_failed(stats: Column) -> Column:
@@ -176,14 +177,15 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of ``docs`` that pass, with their columns. No exchange: the verdict is computed in the row."""
-    seen = with_stats(docs.select(F.col(f"`{text_col}`").alias("text")), "text").select(votes("stats", rules).alias("votes"))
-    model = fit(seen, "votes", rules)
-    rows = with_stats(docs, text_col)
-    good = ~base_failed(F.col("stats")) & (model.column(votes("stats", rules)) >= KEEP_AT)
-    # A filter on the expression itself would be pushed below the steps of with_stats and evaluate them inside each
-    # other; a generated column stays where it is.
-    return rows.select("_row", F.explode(F.array(good)).alias("kept")).filter("kept").select("_row.*")
+    """The rows of ``docs`` that pass, with their columns.
+
+    No exchange: rows that the base rules keep are written with their votes, which the fit and the verdict read again;
+    rows that fail them leave only their votes.
+    """
+    rows = with_stats(docs, text_col).select("_row", base_failed(F.col("stats")).alias("failed"), votes("stats", rules).alias("votes"))
+    rows = materialize(rows.select(F.when(~F.col("failed"), F.col("_row")).alias("_row"), "failed", "votes"), "voted-documents")
+    model = fit(rows, "votes", rules)
+    return rows.filter(~F.col("failed") & (model.column(F.col("votes")) >= KEEP_AT)).select("_row.*")
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
