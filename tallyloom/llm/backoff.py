@@ -44,7 +44,13 @@ from tallyloom.llm.substrings import Memo, mixed
 
 ALPHA, MIN_DOCS, HOT, HEAVY, OFTEN, CHUNK, GROUP = 0.4, 2, 65_000, 65_000, 4, 1_000_000, 1_500_000
 COLD = 65_535
-HEAD = struct.Struct("<qIII")
+HEAD, ASKED = struct.Struct("<qIIIBBB"), struct.Struct("<IIBBB")
+
+
+def width(x: np.ndarray) -> int:
+    """Bytes of the narrowest unsigned type that holds all of ``x``."""
+    most = int(x.max()) if len(x) else 0
+    return 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4
 
 
 def chunks(batches: Iterator[pa.RecordBatch], memo: Memo) -> Iterator[tuple[int, list, np.ndarray, np.ndarray]]:
@@ -168,11 +174,12 @@ def heavy_sums(blob: bytes, value: np.ndarray, back: np.ndarray) -> np.ndarray:
 def encoded(uid: int, hot: HotWords, first: np.ndarray, second: np.ndarray, n_rows: np.ndarray, row: np.ndarray, times: np.ndarray) -> bytes:
     a, b = hot.ranks(first), hot.ranks(second)
     ca, cb = first[a == COLD], second[b == COLD]
-    return b"".join((HEAD.pack(uid, len(first), len(row), len(ca)), a.tobytes(), b.tobytes(), n_rows.astype("<u4").tobytes(), row.astype("<u4").tobytes(), times.astype("<u4").tobytes(), ca.tobytes(), cb.tobytes()))
+    counts = [(x, width(x)) for x in (n_rows, row, times)]
+    return b"".join((HEAD.pack(uid, len(first), len(row), len(ca), *(k for _, k in counts)), a.tobytes(), b.tobytes(), *(x.astype(f"<u{k}").tobytes() for x, k in counts), ca.tobytes(), cb.tobytes()))
 
 
 def decoded(blob: bytes, hot: HotWords) -> tuple:
-    uid, n, m, n_cold = HEAD.unpack_from(blob)
+    uid, n, m, n_cold, *k = HEAD.unpack_from(blob)
     at = HEAD.size
 
     def take(kind: str, count: int) -> np.ndarray:
@@ -181,7 +188,7 @@ def decoded(blob: bytes, hot: HotWords) -> tuple:
         at += out.nbytes
         return out
 
-    a, b, n_rows, row, times = take("<u2", n), take("<u2", n), take("<u4", n), take("<u4", m), take("<u4", m)
+    a, b, n_rows, row, times = take("<u2", n), take("<u2", n), take(f"<u{k[0]}", n), take(f"<u{k[1]}", m), take(f"<u{k[2]}", m)
     ca, cb = take("<u8", n_cold), take("<u8", int((b == COLD).sum()))
     return uid, hot.hashes(a, ca), hot.hashes(b, cb), n_rows.astype(np.int64), row.astype(np.int64), times.astype(np.int64)
 
@@ -344,14 +351,15 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alph
             if asked:
                 uid, w, row, k = (np.concatenate([a[i] for a in asked]) for i in range(4))
                 g = (w % np.uint64(groups)).astype(np.int64)
-                by = np.argsort(g, kind="stable")
+                by = np.lexsort((w, g))  # equal words are neighbours, which compresses
                 uid, w, row, k, g = uid[by], w[by], row[by], k[by], g[by]
                 edges = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
                 upto = np.append(edges[1:], len(g))
                 packs = []
                 for a, b in zip(edges.tolist(), upto.tolist(), strict=True):
                     us, local = np.unique(uid[a:b], return_inverse=True)
-                    packs.append(struct.pack("<II", len(us), b - a) + us.astype("<i8").tobytes() + w[a:b].tobytes() + local.astype("<u2" if len(us) < 65536 else "<u4").tobytes() + row[a:b].astype("<u4").tobytes() + k[a:b].astype("<i4").tobytes())
+                    own = [(x, width(x)) for x in (local, row[a:b], np.abs(k[a:b]) * 2 + (k[a:b] < 0))]  # the times' sign is the last bit
+                    packs.append(ASKED.pack(len(us), b - a, *(n for _, n in own)) + us.astype("<i8").tobytes() + w[a:b].tobytes() + b"".join(x.astype(f"<u{n}").tobytes() for x, n in own))
                 m = len(packs)
                 out.append(pa.table({"kind": pa.array([2] * m, pa.int32()), "g": pa.array(g[edges]), "row": pa.array([0] * m, pa.int64()), "id": pa.nulls(m, t.schema.field("id").type), "n": pa.array([0] * m, pa.int64()), "blob": pa.array(packs, pa.binary())}))
         return pa.concat_tables(out).select(["kind", "g", "row", "id", "n", "blob"])
@@ -372,13 +380,14 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alph
         w, c = w[order], np.log(counts.column("c").to_numpy()[order])
         some: dict[int, np.ndarray] = {}
         for blob in requests.column("blob").to_pylist():
-            n_uids, m = struct.unpack_from("<II", blob)
-            at = 8
+            n_uids, m, *wide = ASKED.unpack_from(blob)
+            at = ASKED.size
             parts = []
-            for kind, size in (("<i8", n_uids), ("<u8", m), ("<u2" if n_uids < 65536 else "<u4", m), ("<u4", m), ("<i4", m)):
+            for kind, size in (("<i8", n_uids), ("<u8", m), *((f"<u{n}", m) for n in wide)):
                 parts.append(np.frombuffer(blob, kind, size, at))
                 at += parts[-1].nbytes
             us, need, local, row, k = parts
+            k = (k >> 1).astype(np.int64) * np.where(k & 1, -1, 1)
             value = c[np.searchsorted(w, need)] * k
             by = np.argsort(local, kind="stable")
             edge = np.searchsorted(local[by], np.arange(n_uids + 1))
