@@ -44,7 +44,7 @@ from tallyloom.llm.substrings import Memo, mixed
 
 ALPHA, MIN_DOCS, HOT, HEAVY, OFTEN, CHUNK, GROUP = 0.4, 2, 65_000, 65_000, 4, 1_000_000, 1_500_000
 COLD = 65_535
-HEAD, ASKED = struct.Struct("<qIIIBBB"), struct.Struct("<IIBBB")
+HEAD, ASKED = struct.Struct("<qIIIBBB"), "<IIBBB"
 
 
 def width(x: np.ndarray) -> int:
@@ -359,7 +359,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alph
                 for a, b in zip(edges.tolist(), upto.tolist(), strict=True):
                     us, local = np.unique(uid[a:b], return_inverse=True)
                     own = [(x, width(x)) for x in (local, row[a:b], np.abs(k[a:b]) * 2 + (k[a:b] < 0))]  # the times' sign is the last bit
-                    packs.append(ASKED.pack(len(us), b - a, *(n for _, n in own)) + us.astype("<i8").tobytes() + w[a:b].tobytes() + b"".join(x.astype(f"<u{n}").tobytes() for x, n in own))
+                    packs.append(struct.pack(ASKED, len(us), b - a, *(n for _, n in own)) + us.astype("<i8").tobytes() + w[a:b].tobytes() + b"".join(x.astype(f"<u{n}").tobytes() for x, n in own))
                 m = len(packs)
                 out.append(pa.table({"kind": pa.array([2] * m, pa.int32()), "g": pa.array(g[edges]), "row": pa.array([0] * m, pa.int64()), "id": pa.nulls(m, t.schema.field("id").type), "n": pa.array([0] * m, pa.int64()), "blob": pa.array(packs, pa.binary())}))
         return pa.concat_tables(out).select(["kind", "g", "row", "id", "n", "blob"])
@@ -380,8 +380,8 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alph
         w, c = w[order], np.log(counts.column("c").to_numpy()[order])
         some: dict[int, np.ndarray] = {}
         for blob in requests.column("blob").to_pylist():
-            n_uids, m, *wide = ASKED.unpack_from(blob)
-            at = ASKED.size
+            n_uids, m, *wide = struct.unpack_from(ASKED, blob)
+            at = struct.calcsize(ASKED)
             parts = []
             for kind, size in (("<i8", n_uids), ("<u8", m), *((f"<u{n}", m) for n in wide)):
                 parts.append(np.frombuffer(blob, kind, size, at))
