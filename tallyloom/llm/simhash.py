@@ -252,6 +252,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """One row of each component, with its columns: the least id's (null ids last), then the least text hash's."""
     rows, fps = components(docs, id_col, text_col, **options)
     kept = fps.groupBy(F.coalesce("label", "fp").alias("label")).agg(F.min("first").alias("least"))
+    return kept_rows(docs, rows, kept, id_col, text_col)
+
+
+def kept_rows(docs: DataFrame, rows: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that ``kept(least)`` names, once each; ``rows`` has their ids and keys."""
     kept = materialize(kept.select(F.col("least.id").alias("_n_id"), F.col("least.key").alias("_n_key")).distinct(), "kept-rows")
     own = lambda c: F.col("_row").getField(c)
     keyed = boxed(docs).select("_row", own(id_col).alias("_own_id"), text_key(own(text_col).cast("string")).alias("_own_key"))
