@@ -5,7 +5,8 @@ are reported whenever they match. Further kinds (token formats, private keys,
 bearer and basic credentials) match much that is public, so their spans are
 added only if the corpus says that the value is somebody's own: each value's
 hash is aggregated over the whole table by distinct owners and distinct
-repositories, and a value that many of them hold is a widely copied example.
+repositories, and a value that many owners or very many repositories hold is a
+widely copied example.
 
 Positions are code points. Spark has no function for the places of all matches,
 but the text between matches (split) and the matches (regexp_extract_all) of
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from tallyloom.llm.shared import boxed, materialize, text_key
 
 SALTS = 16
+#: Distinct repositories (documents, unless a column names them) that hold a value which is still somebody's own.
+MOST_REPOSITORIES = 100
 
 
 @dataclass(frozen=True)
@@ -85,14 +88,15 @@ def spelled(spans: Column) -> Column:
     return F.array_join(F.transform(ordered(spans), lambda x: F.concat_ws(":", x["name"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def ownership(candidates: DataFrame, most_owners: int) -> DataFrame:
+def ownership(candidates: DataFrame, most_owners: int, most_repositories: int = MOST_REPOSITORIES) -> DataFrame:
     """(value_hash, n_owners, n_repositories, example) of ``candidates(value_hash, owner, repository)``.
 
+    An example has more than ``most_owners`` owners or more than ``most_repositories`` repositories.
     Distinct pairs first, so a value that a third of all rows hold is pre-aggregated before it meets in one place.
     """
     by_owner = candidates.select("value_hash", "owner").distinct().groupBy("value_hash").agg(F.count("owner").alias("n_owners"))
     by_repo = candidates.select("value_hash", "repository").distinct().groupBy("value_hash").agg(F.count("repository").alias("n_repositories"))
-    return by_owner.join(by_repo, "value_hash").withColumn("example", F.col("n_owners") > most_owners)
+    return by_owner.join(by_repo, "value_hash").withColumn("example", (F.col("n_owners") > most_owners) | (F.col("n_repositories") > most_repositories))
 
 
 def scan(
@@ -104,12 +108,13 @@ def scan(
     base: tuple[Kind, ...] = BASE,
     extra: tuple[Kind, ...] = EXTRA,
     most_owners: int = 2,
+    most_repositories: int = MOST_REPOSITORIES,
 ) -> DataFrame:
     """(id, key, base, added) for every row: arrays of spans; ``added`` holds those of ``extra`` with a value of
-    ``most_owners`` owners at most.
+    ``most_owners`` owners and ``most_repositories`` repositories at most.
 
     A repository is a document unless ``repository_col`` names a column. Null text counts as empty. A null owner is no
-    owner: a value with none is nobody's example and stays. Rows that repeat an id are kept apart by their text;
+    owner, a null repository no repository: neither makes a value an example. Rows that repeat an id are kept apart by their text;
     identical rows share their spans. Other columns are not read. An empty table gives none.
     """
     col = lambda c: F.col(f"`{c}`")
@@ -124,7 +129,7 @@ def scan(
     rows = materialize(rows, "secret-spans")  # small: no texts
     one = rows.filter(F.size("more") > 0).select("id", "key", "owner", "repository", F.explode("more").alias("span"))
     one = one.withColumn("value_hash", F.sha2(F.col("span.value"), 256)).distinct()
-    owned = ownership(one, most_owners).filter("not example").select("value_hash", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    owned = ownership(one, most_owners, most_repositories).filter("not example").select("value_hash", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     one = one.withColumn("salt", F.pmod(F.col("key"), F.lit(SALTS)).cast("int"))
     live = one.join(owned.hint("merge"), ["value_hash", "salt"]).groupBy(F.col("id").alias("id2"), F.col("key").alias("key2")).agg(F.collect_list("span").alias("added"))
     same = F.col("id").eqNullSafe(F.col("id2")) & (F.col("key") == F.col("key2"))

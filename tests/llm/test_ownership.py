@@ -1,0 +1,21 @@
+"""The verdict on secrets by owners and by repositories."""
+
+from common import odd_docs
+
+from tallyloom.llm import secrets
+
+COPIED, OWN, FEW = "Bearer EXAMPLEEXAMPLEEXAMPLE", "Bearer q8Zr2mLk9xPw4vTs7nYb", "Bearer k3Vt8nBq5wXz1cMd6rHj"
+
+
+def test_a_value_in_very_many_documents_of_one_source_is_an_example(spark):
+    rows = [(k, f"page {k} see {COPIED} here", "en", "hot", 0) for k in range(150)] + [(900 + k, f"note {k} {OWN}", "en", "hot", 0) for k in range(100)] + [(1999, f"so {FEW}", "en", "hot", 0)]
+    found = {r["id"]: [s["value"] for s in r["added"]] for r in secrets.scan(odd_docs(spark, rows)).collect()}
+    assert not any(found[k] for k in range(150)) and found[1999] == [FEW.split()[1]] and all(found[900 + k] == [OWN.split()[1]] for k in range(100))
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(odd_docs(spark, rows)).collect()}
+    assert COPIED in clean[0] and OWN not in clean[900] and FEW not in clean[1999]
+
+
+def test_repositories_and_owners_count_apart(spark):
+    rows = [("x", "a", k) for k in range(4)] + [("y", o, 1) for o in "abc"] + [("z", "a", None)] * 5 + [("u", None, k) for k in range(4)]
+    got = secrets.ownership(spark.createDataFrame(rows, "value_hash string, owner string, repository long"), 2, 3).collect()
+    assert {r["value_hash"]: (r["n_owners"], r["n_repositories"], r["example"]) for r in got} == {"x": (1, 4, True), "y": (3, 1, True), "z": (1, 0, False), "u": (0, 4, True)}
