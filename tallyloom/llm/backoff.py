@@ -23,8 +23,9 @@ go another way: each task sums their counts, their rows stay with their chunk, a
 the counts (a table of bounded size) come to the chunks. A bigram that is not among
 those occurs less than ``OFTEN`` times in every chunk, or less often than ``HEAVY``
 others, or has a word less frequent than ``HOT`` others; each bounds its rows by a
-small part of the table. No word or bigram is dropped for being rare, frequent or
-many, and the scores do not depend on which way a bigram goes.
+small part of the table. Apart from ``MIN_DOCS``, which leaves a bigram of one row
+out of the model however often it occurs there, no word or bigram is dropped for
+being rare, frequent or many, and the scores do not depend on which way a bigram goes.
 """
 
 from __future__ import annotations

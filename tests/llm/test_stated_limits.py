@@ -1,8 +1,8 @@
 """Limits that the README names: they hold as stated."""
 
-from common import docs_at, sentence
+from common import docs_at, odd_docs, sentence
 
-from tallyloom.llm import quality
+from tallyloom.llm import backoff, quality
 
 
 def test_a_clean_document_with_one_bad_vote_goes(spark):
@@ -13,3 +13,9 @@ def test_a_clean_document_with_one_bad_vote_goes(spark):
     got = {r["doc_id"]: r for r in quality.judge(docs.union(more)).collect()}
     assert got[-1]["votes"] == "ggggggg" and got[-1]["kept"]
     assert got[-2]["votes"] == "bgggggg" and not got[-2]["base_failed"] and not got[-2]["kept"]
+
+
+def test_a_bigram_of_one_document_backs_off_and_one_of_two_copies_does_not(spark):
+    rows = [(1, "alpha beta " * 50, "", "", 0), (2, "gamma delta", "", "", 0), (3, "gamma delta", "", "", 0)]
+    got = {r["doc_id"]: r["n_backoff"] for r in backoff.scores(odd_docs(spark, rows)).collect()}
+    assert got == {1: 99, 2: 0, 3: 0}
