@@ -2,7 +2,7 @@
 
 from common import docs_at, odd_docs, sentence
 
-from tallyloom.llm import backoff, quality
+from tallyloom.llm import backoff, decontaminate, quality
 
 
 def test_a_clean_document_with_one_bad_vote_goes(spark):
@@ -19,3 +19,9 @@ def test_a_bigram_of_one_document_backs_off_and_one_of_two_copies_does_not(spark
     rows = [(1, "alpha beta " * 50, "", "", 0), (2, "gamma delta", "", "", 0), (3, "gamma delta", "", "", 0)]
     got = {r["doc_id"]: r["n_backoff"] for r in backoff.scores(odd_docs(spark, rows)).collect()}
     assert got == {1: 99, 2: 0, 3: 0}
+
+
+def test_items_below_five_words_match_nothing(spark):
+    items = spark.createDataFrame([(1, "one two three four"), (2, "漢字漢字漢字漢字漢字漢字"), (3, "one two three four five")], "item_id long, text string")
+    docs = odd_docs(spark, [(1, "say one two three four five now", "", "", 0), (2, "漢字漢字漢字漢字漢字漢字", "", "", 0)])
+    assert [(r["doc_id"], r["item_id"]) for r in decontaminate.contained(docs, items).collect()] == [(1, 3)]
