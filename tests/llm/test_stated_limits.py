@@ -1,8 +1,10 @@
 """Limits that the README names: they hold as stated."""
 
 from common import docs_at, odd_docs, sentence
+from pyspark.sql import functions as F
 
 from tallyloom.llm import backoff, decontaminate, quality
+from tallyloom.operators import chunking
 
 
 def test_a_clean_document_with_one_bad_vote_goes(spark):
@@ -25,3 +27,8 @@ def test_items_below_five_words_match_nothing(spark):
     items = spark.createDataFrame([(1, "one two three four"), (2, "漢字漢字漢字漢字漢字漢字"), (3, "one two three four five")], "item_id long, text string")
     docs = odd_docs(spark, [(1, "say one two three four five now", "", "", 0), (2, "漢字漢字漢字漢字漢字漢字", "", "", 0)])
     assert [(r["doc_id"], r["item_id"]) for r in decontaminate.contained(docs, items).collect()] == [(1, 3)]
+
+
+def test_chunks_of_a_text_beyond_the_range_of_the_sql(spark):
+    c = spark.createDataFrame([("x" * 1_900_000,)], "text string").select(F.explode(chunking.fixed_chunks(F.col("text"), 1000, 900)).alias("c"))
+    assert tuple(c.agg(F.count(F.lit(1)), F.max(F.col("c.start") + F.length("c.chunk"))).first()) == (2111, 1_900_000)
