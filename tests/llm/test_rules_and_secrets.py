@@ -43,18 +43,18 @@ def test_base_over_the_corpus_equals_brute_force(spark, sf):
 
 def brute_em(patterns):
     """EM with a row for each document instead of counts, and products instead of log odds."""
-    n, now = len(patterns), [0.02 if "b" in p else 0.98 for p in patterns]
-    weight = max(1.0, 1e-4 * n)
-    for _ in range(100):
+    n = len(patterns)
+    now = [min(0.95, max(0.05, (p.count("g") + 1e-9) / (p.count("g") + p.count("b") + 2e-9))) for p in patterns]
+    weight = max(1.0, 1e-3 * n)
+    for _ in range(1000):
         rules = []
         for k in range(len(patterns[0])):
-            gg, gb = weight, 0.001 * weight
-            bg = bb = 3 * weight
+            gg, gb, bg, bb = 0.9 * weight, 0.1 * weight, 0.5 * weight, 0.5 * weight
             for p, q in zip(patterns, now):
                 gg, gb = gg + q * (p[k] == "g"), gb + q * (p[k] == "b")
                 bg, bb = bg + (1 - q) * (p[k] == "g"), bb + (1 - q) * (p[k] == "b")
-            rules.append((max(quality.LEAST_ON_GOOD, gg / (gg + gb)), bb / (bg + bb)))
-        prior, after = (sum(now) + 9 * weight) / (n + 10 * weight), []
+            rules.append((gg / (gg + gb), bb / (bg + bb)))
+        prior, after = (sum(now) + 8 * weight) / (n + 10 * weight), []
         for p in patterns:
             good, bad = prior, 1 - prior
             for v, (a, b) in zip(p, rules):
@@ -74,16 +74,44 @@ def test_posteriors_equal_em_over_rows(spark, sf):
     assert all(r["kept"] == (not r["base_failed"] and r["quality"] >= 0.5) for r in got)
 
 
-def test_em_finds_planted_accuracies():
+def planted(truth, share, n, seed):
     import random
 
-    rng, truth = random.Random(3), [(0.999, 0.9), (0.999, 0.7), (0.9995, 0.8), (0.999, 0.6)]
-    counts = Counter()
-    for _ in range(40_000):
-        good = rng.random() < 0.8
-        counts["".join("-" if rng.random() < 0.1 else ("g" if (rng.random() < a) == good else "b") if good else ("b" if rng.random() < b else "g") for a, b in truth)] += 1
-    model = quality.fit_votes(dict(counts), 4)
-    assert abs(model.good - 0.8) < 0.02 and all(abs(b - t[1]) < 0.04 for (_, b), t in zip(model.accuracies, truth))
+    rng, counts = random.Random(seed), Counter()
+    for _ in range(n):
+        good = rng.random() < share
+        counts["".join("-" if rng.random() < 0.1 else ("g" if rng.random() < a else "b") if good else ("b" if rng.random() < b else "g") for a, b in truth)] += 1
+    return dict(counts)
+
+
+@pytest.mark.parametrize("truth", [[(0.9, 0.85), (0.8, 0.9), (0.95, 0.7), (0.7, 0.8), (0.85, 0.95)], [(0.95, 0.9), (0.8, 0.7), (0.9, 0.75), (0.7, 0.9), (0.85, 0.8), (0.9, 0.95)]])
+def test_em_finds_planted_accuracies_of_both_sides(truth):
+    model = quality.fit_votes(planted(truth, 0.8, 40_000, 3), len(truth))
+    assert model.converged and abs(model.good - 0.8) < 0.02
+    assert all(abs(a - x) < 0.04 and abs(b - y) < 0.04 for (a, b), (x, y) in zip(model.accuracies, truth))
+
+
+def test_a_rule_that_is_often_wrong_does_not_decide():
+    """Good documents fail the last rule one time in five; junk makes two rules or more vote bad."""
+    truth = [(0.999, 0.9), (0.999, 0.85), (0.999, 0.8), (0.8, 0.6)]
+    model = quality.fit_votes(planted(truth, 0.85, 40_000, 5), 4)
+    assert model.posterior("gggb") > 0.9 > 0.1 > model.posterior("bbgg")
+
+
+def test_the_verdict_is_not_all_must_pass():
+    """On sf0.1: bad votes that cost nothing, bad votes that do, and the labels side with the posterior."""
+    import duckdb
+    from pyspark.sql import SparkSession
+
+    sf = "/root/testdata/sf0.1"
+    got = quality.op3_quality_rules(SparkSession.getActiveSession(), sf).filter("not base_failed").select("doc_id", "votes", "kept").collect()
+    labels = dict(duckdb.sql(f"SELECT doc_id, quality FROM '{sf}/labels.parquet'").fetchall())
+    voted = [r for r in got if "b" in r["votes"]]
+    assert sum(r["kept"] for r in voted) > 300 and sum(not r["kept"] for r in voted) > 300
+    kept = Counter((labels[r["doc_id"]], r["kept"]) for r in got if r["doc_id"] in labels)
+    assert kept[0, True] <= 0.02 * kept[0, False] and kept[1, False] <= 0.005 * kept[1, True]
+    passing = Counter((labels[r["doc_id"]], "b" not in r["votes"]) for r in got if r["doc_id"] in labels)
+    assert kept[1, False] < passing[1, False] / 20
 
 
 def test_fit_without_rows_gives_the_prior(spark):
