@@ -8,8 +8,12 @@ them there, so of any n - ceil(t n) + 1 shingles one at least is in the
 document. Each item's sketch is that many shingles of least hash - a bottom-k
 MinHash whose size follows the class's upper bound - and no pair can be missed.
 
-The documents' shingle hashes meet the sketches in one equi-join (broadcast if
-the sketches, counted first, are few; else by exchange). Pairs that share a
+A document's sketch is its shingle hashes up to the widest class's bound, the
+greatest hash that any item's sketch holds: none above it can meet one. As
+items' sketches are least hashes, that leaves out a good part of a document's
+shingles before anything is joined; small items (a few shingles) widen it. The
+classes share one equi-join, as equal hashes part them anyway (broadcast if the
+sketches, counted first, are few; else by exchange). Pairs that share a
 sketch hash are verified on the shingles themselves.
 """
 
@@ -72,15 +76,21 @@ def contained(
     """
     sk = materialize(sketches(items, item_col, item_text_col, size, threshold).withColumn("no", F.xxhash64(F.col("item").cast("string"), F.array_join("grams", " "))), "item-sketches")
     keys = sk.select("no", F.explode("sketch").alias("h")).distinct()
-    few = keys.count() <= BROADCAST_ROWS
+    n_keys, bound = keys.agg(F.count(F.lit(1)), F.max("h")).first()
+    few = n_keys <= BROADCAST_ROWS
+
+    def sketch(words: Column) -> Column:
+        """A document's hashes within the widest class's bound."""
+        return F.array_distinct(F.filter(hashes(words, size), lambda h: h <= F.lit(bound)))
+
     hint = F.broadcast if few else (lambda x: x)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text_key(F.col(f"`{text_col}`")).alias("key"), plain_words(text).alias("words"))
     if few:  # the words ride along and are copied only where a hash is found
-        grams = rows.select("id", "key", "words", F.explode(F.array_distinct(hashes(F.col("words"), size))).alias("h"))
+        grams = rows.select("id", "key", "words", F.explode(sketch(F.col("words"))).alias("h"))
         pairs = grams.join(hint(keys), "h").groupBy("id", "key", "no").agg(F.first("words").alias("words"))
     else:
-        grams = rows.select("id", "key", F.explode(F.array_distinct(hashes(F.col("words"), size))).alias("h"))
+        grams = rows.select("id", "key", F.explode(sketch(F.col("words"))).alias("h"))
         pairs = grams.join(keys, "h").select("id", "key", "no").distinct()
         mine = rows.withColumnsRenamed({"id": "id2", "key": "key2"})
         pairs = pairs.join(mine, pairs.id.eqNullSafe(mine.id2) & (pairs.key == mine.key2)).select("id", "key", "no", "words").dropDuplicates(["id", "key", "no"])

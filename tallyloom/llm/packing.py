@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.shared import materialize
 
-#: Entries of a worker's memo of encoded chunks; results do not depend on it.
-MEMO = 600_000
+#: Entries of a worker's memo of encoded chunks, and characters of the longest of them: 200 MB at most with what an entry
+#: costs besides. Results do not depend on it.
+MEMO, MEMO_CHARS = 600_000, 48
 
 
 class Encoder:
@@ -58,7 +59,7 @@ class Encoder:
         if not key or key[0].isspace() or key[-1].isspace():
             return None
         got = array("H", self.fast(text)).tobytes() if key.isascii() or max(key) < "ɐ" else self.whole(text)
-        if len(self.memo) < MEMO:
+        if len(key) <= MEMO_CHARS and len(self.memo) < MEMO:
             self.memo[key] = got
         return got
 
@@ -91,7 +92,7 @@ def encoder(json_path: str, ranks_path: str, pattern: str) -> Encoder:
 
 def tokenize(docs: DataFrame, id_col: str, text_col: str, tokenizer: tuple[str, str, str], end_id: int = 0) -> DataFrame:
     """(id, part, at, n, ids): ids as uint16 bytes with the end id, and their place inside the partition."""
-    kept = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    kept = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     end = array("H", [end_id]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,10 +2,12 @@
 
 A rule is a host and a path. It fits its host and all subdomains where the
 url's path starts with the rule's path. A url is expanded into every suffix of
-its host (at label borders) times every prefix of its path that has the length
-of some rule's path; each expression's SHA-256 meets the rules' in an equi-join
-on the first hex digits, and the full digests decide. Of the fitting rules the
-longest wins; of equally long ones a block, then the first by name.
+its host (at label borders) that has as many labels as some rule's host, times
+every prefix of its path that has the length of some rule's path, so a url of
+very many labels costs what its length costs. Each expression's SHA-256 meets
+the rules' in an equi-join on the first hex digits, and the full digests decide.
+Of the fitting rules the longest wins; of equally long ones a block, then the
+first by name.
 """
 
 from __future__ import annotations
@@ -26,6 +28,10 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def label_count(host: str) -> Column:
+    return F.length(host) - F.length(F.replace(F.col(host), F.lit("."), F.lit(""))) + 1
+
+
 def split_url(url: Column) -> tuple[Column, Column]:
     """(host, path): both empty for null or without ``://``. The path ends before ``?`` or ``#``."""
     url = F.coalesce(url.cast("string"), F.lit(""))
@@ -45,15 +51,19 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     good = good.withColumn("digest", F.sha2(F.concat("rule_host", F.lit("\n"), "rule_path"), 256)).withColumn("short", F.substring("digest", 1, PREFIX_DIGITS))
     good = materialize(good, "url-rules")
     hint = F.broadcast if good.count() <= BROADCAST_ROWS else (lambda x: x)
-    lengths = good.agg(F.sort_array(F.collect_set(F.length("rule_path"))).alias("lengths"))  # one row; as many numbers as path lengths
+    # One row: the path lengths and label counts that rules have.
+    shapes = good.agg(F.sort_array(F.collect_set(F.length("rule_path"))).alias("lengths"), F.sort_array(F.collect_set(label_count("rule_host"))).alias("counts"))
 
     host, path = split_url(F.col(f"`{url_col}`"))
     urls = pages.select(F.col(f"`{id_col}`").alias("id"), host.alias("host"), path.alias("path"))
     # Every row asks for its host and path; equal ones ask once.
-    asked = urls.select("host", "path").distinct().crossJoin(F.broadcast(lengths))
-    labels = F.split("host", r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    asked = asked.select("host", "path", suffixes.alias("suffixes"), F.transform(F.filter("lengths", lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n)).alias("prefixes"))
+    tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = urls.select("host", "path").distinct().repartition(tasks, "host", "path")  # few bytes that grow tenfold: not to be coalesced by their size
+    asked = asked.crossJoin(F.broadcast(shapes)).withColumn("labels", label_count("host"))
+    asked = asked.select(
+        "host", "path", F.expr("transform(filter(counts, n -> n <= labels), n -> substring_index(host, '.', -n))").alias("suffixes"),
+        F.transform(F.filter("lengths", lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n)).alias("prefixes"),
+    )
     terms = asked.select("host", "path", F.explode("suffixes").alias("suffix"), "prefixes").select("host", "path", "suffix", F.explode("prefixes").alias("prefix"))
     terms = terms.withColumn("full", F.sha2(F.concat("suffix", F.lit("\n"), "prefix"), 256)).withColumn("short", F.substring("full", 1, PREFIX_DIGITS))
     hits = terms.join(hint(good), "short").filter("full = digest")

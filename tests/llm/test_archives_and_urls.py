@@ -143,6 +143,14 @@ def test_verdicts_on_the_corpus_equal_sql_and_brute_force(spark, sf):
     assert bag(got, "page_id", "host", "path", "rule", "verdict") == Counter((r["page_id"], *brute_verdict(r["url"], RULES)) for r in table)
 
 
+def test_a_host_of_a_hundred_thousand_labels(spark):
+    rules = [("block", "b.net", "/x"), ("allow", ".".join(["a"] * 60) + ".b.net", "/x"), ("block", ".".join("bcdefgh") + ".com", "/")]
+    many = [f"http://{'a.' * n}b.net/x/{'y' * 50_000}" for n in (100_000, 50, 0)] + ["http://" + "a." * 99_999 + "b.c.d.e.f.g.h.com/"]
+    rows = spark.createDataFrame(list(enumerate(many)), "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.filter_urls(rows, spark.createDataFrame(rules, "action string, host string, path string")).collect()}
+    assert got == {k: brute_verdict(u, rules)[2:] for k, u in enumerate(many)}
+
+
 def test_no_urls_or_no_rules(spark):
     none = spark.createDataFrame([], "action string, host string, path string")
     assert urls.filter_urls(asked(spark, []), none).count() == 0

@@ -113,6 +113,19 @@ def test_corpus_is_packed_whole(spark, sf, tokenizer):
     assert_packed(packing.op10_packing(spark, sf).collect(), [(r["doc_id"], r["text"]) for r in docs_at(spark, sf).collect()], tokenizer)
 
 
+def test_long_chunks_are_not_kept_in_memory(tokenizer):
+    enc = packing.Encoder(*packing.byte_bpe())
+    text = " ".join(f"{k:x}" * 300 for k in range(2000)) + " word" * 9 + " " + "漢字" * 5000
+    assert list(np.frombuffer(enc.encode(text), "<u2")) == tokenizer.encode(text, add_special_tokens=False).ids
+    assert max(map(len, enc.memo)) <= packing.MEMO_CHARS and len(enc.memo) < 9
+
+
+def test_a_dotted_column_is_packed(spark, tokenizer):
+    rows = [(1, "one two"), (2, None)]
+    got = packing.pack(spark.createDataFrame(rows, "`doc.id` long, `a.text` string"), packing.byte_bpe(), "doc.id", "a.text")
+    assert_packed(got.withColumnRenamed("doc.id", "doc_id").collect(), rows, tokenizer)
+
+
 def test_nothing_to_pack(spark):
     assert packing.pack(odd_docs(spark, []), packing.byte_bpe()).count() == 0
 
