@@ -1,25 +1,29 @@
-"""Exact removal of repeated passages by prefix-partitioned suffix groups.
+"""Exact removal of repeated passages by prefix-partitioned suffix trees.
 
 The suffixes of all texts (one for each word) are split into groups by a prefix
 of variable length: from the suffix's first word to the end of its anchor, the
 run of ``PREFIX`` words of least hash among those its first ``window`` words
 hold. Suffixes that agree in ``window`` words have the same anchor and so the
-same group; the anchor depends on those words only. A group holds some millions
-of suffixes whatever the table's size, as the number of groups follows it. A first
-pass counts the suffixes of every anchor; those of an anchor too large for a group
-(a line that a third of all rows hold, each time between other words) get a longer
+same group; the anchor depends on those words only, and neighbouring suffixes
+share it. A group holds some millions of suffixes whatever the table's size, as
+the number of groups follows it, and each group is a task. A first pass counts
+the suffixes of every anchor; those of an anchor too large for a group (a line
+that a third of all rows hold, each time between other words) get a longer
 prefix: they are dealt by all their ``window`` words.
 
-Inside a group the suffixes are sorted by anchor and by their first ``window``
-words (as hashes), which is the leaf order of the group's suffix tree cut at
-depth ``window``: a class of equal neighbours is an internal node at least that
-deep, its leaves are the places of a repeat, and runs of consecutive leaves are
-maximal repeats. Only hashes travel: 56 bits for a suffix and 64 for a run of
-suffixes with one anchor, compared together.
+Most suffixes share ``window`` words with no other, and no deep node has them as
+leaves. They are left out first: every suffix travels as a 40-bit hash with its
+run's 64-bit anchor, and only those with an equal in their group are suspects
+(equal passages have equal hashes, so none is lost). The suspects then travel
+with their words, dealt in the same way, and each group builds the suffix array
+of its leaves with the common prefix lengths of neighbours: the suffix tree in
+array form. Runs of neighbours with ``window`` common words are the leaves below
+its internal nodes of that depth, and consecutive leaves are maximal repeats.
+Nothing is removed on a hash's word: those lengths are counted on words.
 
 Places that agree inside one chunk of a task (about ``CHUNK`` words) are decided
-there, and one of them is sent on, so a passage that a third of all rows hold is
-a few entries for each task.
+there, word by word too, and one of them is sent on, so a passage that a third
+of all rows hold is a few entries for each task.
 """
 
 from __future__ import annotations
@@ -39,24 +43,29 @@ from tallyloom.llm.shared import materialize, text_key
 PREFIX, CHUNK, GROUP, MOST_HEAVY = 8, 1_000_000, 3_000_000, 1_000_000
 #: Bytes of ranges that may be broadcast to the texts instead of shuffling the texts.
 BROADCAST_BYTES = 4_000_000
+#: Bytes of a suffix's hash that travel.
+SENT = 5
 BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
 
 
 class Memo(dict):
-    """Hashes of words. Emptied when full."""
+    """Hashes of words. Emptied when full; words over 64 bytes are not kept, so it holds some tens of MB at most."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= 64:
+            if len(self) >= 300_000:
+                self.clear()
+            self[word] = h
         return h
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n + 1, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+class Numbers(dict):
+    """Words by their number in order of appearance: equal numbers are equal words."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -65,10 +74,17 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def run_hashes(sums: np.ndarray, inverse: np.ndarray, size: int) -> np.ndarray:
-    """Hash of each run of ``size`` words from the running sums of word hash times power."""
-    n = len(sums) - size
-    return mixed((sums[size:] - sums[:n]) * inverse[:n])
+def window_hashes(h: np.ndarray, *sizes: int) -> list[np.ndarray]:
+    """For each of the rising ``sizes``, the hash of every run of so many words, put together from its two halves.
+
+    Halves are mixed at every doubling, so runs that differ by a pattern (as sums of powers may not tell apart) do too.
+    """
+    out, span = [], 1
+    for size in sizes:
+        while 2 * span <= size:
+            h, span = mixed(h[:-span] * np.uint64(BASE) + h[span:]), 2 * span
+        out.append(h if size == span else mixed(h[: len(h) - (size - span)] * np.uint64(BASE) + h[size - span :]))
+    return out
 
 
 def least_of(x: np.ndarray, width: int) -> np.ndarray:
@@ -84,35 +100,70 @@ def suffixes(hashes: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarr
     n = len(hashes)
     if n < window:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    pw, inverse = powers(BASE, n), powers(INVERSE, n)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * pw[:n], dtype=np.uint64)))
     prefix = min(PREFIX, window)
-    whole = run_hashes(sums, inverse, window)
-    anchor = least_of(run_hashes(sums, inverse, prefix), window - prefix + 1)
+    short, whole = window_hashes(hashes, prefix, window)
+    anchor = least_of(short, window - prefix + 1)
     at = np.flatnonzero(doc[: n - window + 1] == doc[window - 1 :])
     return at, anchor[at], whole[at]
 
 
-BLOB = struct.Struct("<III")
+class Chunk:
+    """Some texts' words: their numbers, and the suffixes that are long enough."""
+
+    def __init__(self, words: list[list[bytes]], window: int, hash_of=xxhash.xxh64_intdigest) -> None:
+        numbers, counts = Numbers(), np.fromiter(map(len, words), np.int64, len(words))
+        self.window = window
+        self.ids = np.fromiter((numbers[w] for ws in words for w in ws), np.int64, int(counts.sum()))
+        self.vocabulary = list(numbers)
+        self.doc, self.first = np.repeat(np.arange(len(counts)), counts), np.cumsum(counts) - counts
+        known = np.fromiter(map(hash_of, self.vocabulary), np.uint64, len(self.vocabulary))
+        self.at, self.anchor, self.whole = suffixes(known[self.ids], self.doc, window)
 
+    def equal(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the windows at two places have the same words."""
+        out = np.ones(len(a), bool)
+        for k in range(self.window):
+            out &= self.ids[a + k] == self.ids[b + k]
+        return out
 
-def packed(keys: np.ndarray, run_doc: np.ndarray, run_start: np.ndarray, run_len: np.ndarray, run_anchor: np.ndarray, whole: np.ndarray) -> bytes:
-    here, local = np.unique(run_doc, return_inverse=True)
-    return b"".join(
-        (
-            BLOB.pack(len(here), len(run_doc), len(whole)),
-            keys[here].tobytes(),
-            run_anchor.astype("<u8").tobytes(),
-            local.astype("<u4").tobytes(),
-            run_start.astype("<u4").tobytes(),
-            run_len.astype("<u4").tobytes(),
-            whole.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes(),
-        )
-    )
+    def classes(self) -> tuple[np.ndarray, np.ndarray]:
+        """(order, new): suffixes in an order in which equal windows are neighbours; where a class begins. By words."""
+        order = np.argsort(self.whole, kind="stable")
+        s = self.whole[order]
+        new = np.ones(len(s), bool)
+        new[1:] = s[1:] != s[:-1]
+        again = np.flatnonzero(~new)
+        same = self.equal(self.at[order[again - 1]], self.at[order[again]])
+        if not same.all():  # different windows of one hash
+            no = np.cumsum(new) - 1
+            mixed_up = np.flatnonzero(np.isin(no, no[again[~same]]))
+            label = np.zeros(len(s), np.int64)
+            label[mixed_up] = np.unique(self.ids[self.at[order[mixed_up]][:, None] + np.arange(self.window)], axis=0, return_inverse=True)[1].ravel()
+            by = np.lexsort((label, no))
+            order, no, label = order[by], no[by], label[by]
+            new[1:] = (no[1:] != no[:-1]) | (label[1:] != label[:-1])
+        return order, new
+
+
+BLOB = struct.Struct("<IIII")
+
+
+def packed(chunk: Chunk, keys: np.ndarray, doc: np.ndarray, start: np.ndarray, length: np.ndarray, anchor: np.ndarray, whole: np.ndarray | None, place: np.ndarray) -> bytes:
+    """Runs of suffixes of one group: their rows' keys, places and anchors, and their hashes - or, without ``whole``, the words at ``place``."""
+    here, local = np.unique(doc, return_inverse=True)
+    runs = (keys[here].tobytes(), anchor.astype("<u8").tobytes(), local.astype("<u4").tobytes(), start.astype("<u4").tobytes(), length.astype("<u4").tobytes())
+    if whole is not None:
+        return BLOB.pack(len(here), len(doc), len(whole), 0) + b"".join(runs) + whole.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SENT].tobytes()
+    span = length + chunk.window - 1
+    words = np.repeat(place - (np.cumsum(span) - span), span) + np.arange(int(span.sum()))
+    used, ids = np.unique(chunk.ids[words], return_inverse=True)
+    spelled = b" ".join(chunk.vocabulary[k] for k in used.tolist())
+    return BLOB.pack(len(here), len(doc), len(ids), len(spelled)) + b"".join(runs) + ids.astype("<u4").tobytes() + spelled
 
 
 def unpacked(blob: bytes) -> tuple[np.ndarray, ...]:
-    docs, runs, n = BLOB.unpack_from(blob)
+    """(keys, anchor, doc, start, length, hashes or word numbers, words)."""
+    docs, runs, n, spelled = BLOB.unpack_from(blob)
     at = BLOB.size
 
     def take(kind: str, count: int) -> np.ndarray:
@@ -123,9 +174,13 @@ def unpacked(blob: bytes) -> tuple[np.ndarray, ...]:
 
     keys, anchor = take("<i8", 2 * docs).reshape(-1, 2), take("<u8", runs)
     doc, start, length = take("<u4", runs), take("<u4", runs), take("<u4", runs)
-    whole = np.zeros((n, 8), np.uint8)
-    whole[:, :7] = take("u1", 7 * n).reshape(-1, 7)
-    return keys, anchor, doc.astype(np.int64), start.astype(np.int64), length.astype(np.int64), whole.view("<u8").ravel()
+    if spelled:
+        body, words = take("<u4", n).astype(np.int64), blob[at : at + spelled].split(b" ")
+    else:
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :SENT] = take("u1", SENT * n).reshape(-1, SENT)
+        body, words = wide.view("<u8").ravel(), []
+    return keys, anchor, doc.astype(np.int64), start.astype(np.int64), length.astype(np.int64), body, words
 
 
 def runs_of(at: np.ndarray, *same: np.ndarray) -> np.ndarray:
@@ -137,16 +192,6 @@ def runs_of(at: np.ndarray, *same: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def chunk_suffixes(texts: list[bytes], window: int, memo: Memo) -> tuple[np.ndarray, ...]:
-    """(row of each word, first word of each row) of one chunk, and its suffixes."""
-    words = [t.split() for t in texts]
-    counts = np.fromiter(map(len, words), np.int64, len(words))
-    hashes = np.fromiter((memo[w] for ws in words for w in ws), np.uint64, int(counts.sum()))
-    del words
-    doc = np.repeat(np.arange(len(counts)), counts)
-    return doc, np.cumsum(counts) - counts, *suffixes(hashes, doc, window)
-
-
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
     """(keys, texts) of about ``CHUNK`` words at a time, from batches whose last column is the text."""
     texts, keys, held = [], [], 0
@@ -175,9 +220,8 @@ def heavy_anchors(rows: DataFrame, window: int) -> np.ndarray:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo()
         for _, texts in chunks(batches):
-            b, n = np.unique(bucket(chunk_suffixes(texts, window, memo)[3]), return_counts=True)
+            b, n = np.unique(bucket(Chunk([t.split() for t in texts], window).anchor), return_counts=True)
             for lo in range(0, len(b), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(b[lo : lo + 100_000]), pa.array(n[lo : lo + 100_000])], names=["bucket", "n"])
 
@@ -189,38 +233,39 @@ def heavy_anchors(rows: DataFrame, window: int) -> np.ndarray:
     return np.sort(np.array([r[0] for r in loads.select("bucket").collect()], np.int32))
 
 
-def chunk_rows(texts: list[bytes], keys: np.ndarray, groups: int, window: int, memo: Memo, heavy: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """(group, kind, blob) of one chunk: kind 0 are suffixes to compare, kind 1 ranges that are decided here."""
-    doc, first, at, anchor, whole = chunk_suffixes(texts, window, memo)
+def chunk_rows(chunk: Chunk, keys: np.ndarray, offset: np.ndarray, groups: int, heavy: np.ndarray, with_words: bool) -> Iterator[tuple[int, int, bytes]]:
+    """(group, kind, blob) of one chunk: kind 0 are suffixes to compare, kind 1 ranges that are decided here.
+
+    ``offset`` is the place of each text's first word in its row.
+    """
+    at, window = chunk.at, chunk.window
     if not len(at):
         return
-    order = np.argsort(whole, kind="stable")
-    s = whole[order]
-    new = np.ones(len(s), bool)
-    new[1:] = s[1:] != s[:-1]
-    again = np.zeros(len(s), bool)  # in sorted order: not alone
+    order, new = chunk.classes()
+    again = np.zeros(len(order), bool)  # in sorted order: not alone
     again[1:] |= ~new[1:]
     again[:-1] |= ~new[1:]
-    send, known = np.empty(len(s), bool), np.empty(len(s), bool)
+    send, known = np.empty(len(order), bool), np.empty(len(order), bool)
     send[order], known[order] = new, again
-    del order, s, new, again
+    del order, new, again
     if known.any():
         k = at[known]
-        cut = runs_of(k, doc[k])
+        cut = runs_of(k, chunk.doc[k])
         length = np.diff(np.append(cut, len(k)))
-        d = doc[k[cut]]
-        lo = k[cut] - first[d]
+        d = chunk.doc[k[cut]]
+        lo = k[cut] - chunk.first[d] + offset[d]
         rows = np.column_stack((keys[d], lo, lo + length + window - 1)).astype("<i8")
         yield int(mixed(keys[:1, 1].view(np.uint64))[0] % np.uint64(groups)), 1, rows.tobytes()
-    at, anchor, whole = at[send], anchor[send], whole[send]
+    at, anchor, whole = at[send], chunk.anchor[send], chunk.whole[send]
     deal = anchor
     if len(heavy):
         b = bucket(anchor)
         deal = np.where(heavy[np.minimum(np.searchsorted(heavy, b), len(heavy) - 1)] == b, mixed(whole), anchor)
-    cut = runs_of(at, anchor, deal, doc[at])
+    cut = runs_of(at, anchor, deal, chunk.doc[at])
     length = np.diff(np.append(cut, len(at)))
-    d = doc[at[cut]]
-    start, run_anchor = at[cut] - first[d], anchor[cut]
+    d = chunk.doc[at[cut]]
+    place, run_anchor = at[cut], anchor[cut]
+    start = place - chunk.first[d] + offset[d]
     group = (deal[cut] % np.uint64(groups)).astype(np.int64)
     by = np.argsort(group, kind="stable")
     ends = np.cumsum(length)
@@ -232,35 +277,74 @@ def chunk_rows(texts: list[bytes], keys: np.ndarray, groups: int, window: int, m
     upto, n_before = np.append(edges[1:], len(group)), np.append(0, np.cumsum(moved))
     for a, b in zip(edges.tolist(), upto.tolist(), strict=True):
         r = by[a:b]
-        yield int(group[a]), 0, packed(keys, d[r], start[r], length[r], run_anchor[r], whole[n_before[a] : n_before[b]])
+        yield int(group[a]), 0, packed(chunk, keys, d[r], start[r], length[r], run_anchor[r], None if with_words else whole[n_before[a] : n_before[b]], place[r])
 
 
-def repeated_ranges(docs: DataFrame, id_col: str, text_col: str, window: int = 35) -> DataFrame:
-    """(k1, k2, lo, hi): word ranges of rows that are covered by windows which start elsewhere, too.
+def batches_of(rows: Iterator[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """``chunk_rows`` as record batches (g, kind, blob) of a few blobs each."""
+    out = list(rows)
+    for lo in range(0, len(out), 16):
+        g, kind, blob = zip(*out[lo : lo + 16])
+        yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())], names=["g", "kind", "blob"])
 
-    A row's key is the hash of its id and of its text; rows equal in both share their ranges.
-    """
-    text = F.col(f"`{text_col}`").cast("string")
-    chars = docs.select(F.sum(F.length(text)).alias("n")).first()["n"] or 0
-    groups = max(32, chars // 6 // GROUP + 1)
-    rows = docs.select(F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{id_col}`").isNull()).alias("k1"), text_key(text).alias("k2"), F.encode(F.coalesce(text, F.lit("")), "utf-8").alias("text"))
 
-    heavy = docs.sparkSession.sparkContext.broadcast(heavy_anchors(rows, window).tobytes())
+def deep_leaves(ids: np.ndarray, leaves: np.ndarray, window: int) -> np.ndarray:
+    """Which of the suffixes that begin at ``leaves`` are below an internal node of depth ``window`` or more.
+
+    Ranks of runs of 1, 2, 4 .. words (equal ranks are equal words) give the leaves' order and the common prefix length
+    of neighbours, counted up to ``window``.
+    """
+    levels, now, span = [(1, ids)], ids, 1
+    while 2 * span <= window:
+        now = np.unique((now[:-span] << 32) | now[span:], return_inverse=True)[1].astype(np.int64)
+        span *= 2
+        levels.append((span, now))
+    order = np.lexsort((now[leaves + window - span], now[leaves]))
+    a, b = leaves[order[:-1]], leaves[order[1:]]
+    depth = np.zeros(len(a), np.int64)
+    for span, rank in reversed(levels):
+        i, j, last = a + depth, b + depth, len(rank) - 1
+        depth += span * ((depth + span <= window) & (np.maximum(i, j) <= last) & (rank[np.minimum(i, last)] == rank[np.minimum(j, last)]))
+    below = np.zeros(len(leaves), bool)
+    below[order[1:][depth >= window]] = True
+    below[order[:-1][depth >= window]] = True
+    return below
+
+
+def places(part: tuple, own: np.ndarray, window: int) -> np.ndarray:
+    """Rows (k1, k2, lo, hi) of the suffixes ``own`` of an unpacked blob."""
+    keys, _, doc, start, length = part[:5]
+    run = np.repeat(np.arange(len(length)), length)[own]
+    place = (np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length))[own] + start[run]
+    d = doc[run]
+    cut = runs_of(place, d)
+    n = np.diff(np.append(cut, len(place)))
+    return np.column_stack((keys[d[cut]], place[cut], place[cut] + n + window - 1))
+
+
+RANGES = "k1 long, k2 long, lo long, hi long, sure boolean"
+
+
+def ranges_table(sure: list[np.ndarray], suspected: list[np.ndarray]) -> pa.Table:
+    parts = [np.concatenate(x) if x else np.zeros((0, 4), np.int64) for x in (sure, suspected)]
+    got = np.concatenate(parts)
+    columns = {c: pa.array(np.ascontiguousarray(got[:, k])) for k, c in enumerate(("k1", "k2", "lo", "hi"))}
+    return pa.table(columns | {"sure": pa.array(np.arange(len(got)) < len(parts[0]))})
+
+
+def suspects(rows: DataFrame, groups: int, window: int, dealt) -> DataFrame:
+    """Ranges of suffixes whose hash another one of the group has; ``sure`` those that their own chunk has decided by words."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, dealt = Memo(), np.frombuffer(heavy.value, np.int32)
+        heavy = np.frombuffer(dealt.value, np.int32)
         for keys, texts in chunks(batches):
-            out = list(chunk_rows(texts, np.array(keys, np.int64).reshape(-1, 2), groups, window, memo, dealt))
-            for lo in range(0, len(out), 16):
-                part = out[lo : lo + 16]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[0] for x in part], pa.int64()), pa.array([x[1] for x in part], pa.int32()), pa.array([x[2] for x in part], pa.binary())], names=["g", "kind", "blob"]
-                )
+            chunk = Chunk([t.split() for t in texts], window)
+            yield from batches_of(chunk_rows(chunk, np.array(keys, np.int64).reshape(-1, 2), np.zeros(len(texts), np.int64), groups, heavy, False))
 
     def compare(t: pa.Table) -> pa.Table:
         kinds, blobs = t.column("kind").to_pylist(), t.column("blob").to_pylist()
-        out = [np.frombuffer(b, "<i8").reshape(-1, 4) for k, b in zip(kinds, blobs, strict=True) if k == 1]
-        parts = [unpacked(b) for k, b in zip(kinds, blobs, strict=True) if k == 0]
+        sure = [np.frombuffer(b, "<i8").reshape(-1, 4) for k, b in zip(kinds, blobs, strict=True) if k == 1]
+        parts, out = [unpacked(b) for k, b in zip(kinds, blobs, strict=True) if k == 0], []
         del blobs
         if parts:
             both = np.concatenate([p[5] * np.uint64(BASE) + np.repeat(p[1], p[4]) for p in parts])
@@ -272,21 +356,101 @@ def repeated_ranges(docs: DataFrame, id_col: str, text_col: str, window: int = 3
             twice[order[:-1][same]] = True
             del both, order, s, same
             lo = 0
-            for keys, _, doc, start, length, whole in parts:
-                own = twice[lo : lo + len(whole)]
-                lo += len(whole)
+            for p in parts:
+                own = twice[lo : lo + len(p[5])]
+                lo += len(p[5])
+                if own.any():
+                    out.append(places(p, own, window))
+        return ranges_table(sure, out)
+
+    return rows.mapInArrow(send, "g long, kind int, blob binary").repartition(groups, "g").groupBy("g").applyInArrow(compare, RANGES)
+
+
+def confirmed(rows: DataFrame, side: DataFrame, groups: int, window: int, dealt) -> DataFrame:
+    """Ranges of the suspected suffixes that are leaves below a node of depth ``window``, by the suffix trees of their words."""
+    both = rows.join(side, ["k1", "k2"]).select("k1", "k2", "text", F.col("ranges.lo").alias("lo"), F.col("ranges.hi").alias("hi"))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heavy = np.frombuffer(dealt.value, np.int32)
+        keys, offset, words, held = [], [], [], 0
+
+        def done() -> Iterator[pa.RecordBatch]:
+            return batches_of(chunk_rows(Chunk(words, window), np.array(keys, np.int64).reshape(-1, 2), np.array(offset, np.int64), groups, heavy, True))
+
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                for k1, k2, text, los, his in zip(*(c.to_pylist() for c in b.slice(at, 500).columns), strict=True):
+                    ws = text.split()
+                    for lo, hi in merged(los, his, window):
+                        keys.append((k1, k2))
+                        offset.append(lo)
+                        words.append(ws[lo:hi])
+                        held += hi - lo
+                    if held >= CHUNK:
+                        yield from done()
+                        keys, offset, words, held = [], [], [], 0
+        if words:
+            yield from done()
+
+    def tree(t: pa.Table) -> pa.Table:
+        kinds, blobs = t.column("kind").to_pylist(), t.column("blob").to_pylist()
+        sure = [np.frombuffer(b, "<i8").reshape(-1, 4) for k, b in zip(kinds, blobs, strict=True) if k == 1]
+        parts = [unpacked(b) for k, b in zip(kinds, blobs, strict=True) if k == 0]
+        del blobs
+        if parts:
+            numbers = Numbers()
+            ids = np.concatenate([np.fromiter((numbers[w] for w in p[6]), np.int64, len(p[6]))[p[5]] for p in parts])
+            length = np.concatenate([p[4] for p in parts])
+            span = length + window - 1
+            first = np.cumsum(span) - span  # of each run's words
+            leaves = np.repeat(first - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+            below, lo = deep_leaves(ids, leaves, window), 0
+            for p in parts:
+                n = int(p[4].sum())
+                own = below[lo : lo + n]
+                lo += n
                 if own.any():
-                    run = np.repeat(np.arange(len(length)), length)[own]
-                    place = (np.arange(len(whole)) - np.repeat(np.cumsum(length) - length, length))[own] + start[run]
-                    d = doc[run]
-                    cut = runs_of(place, d)
-                    n = np.diff(np.append(cut, len(place)))
-                    out.append(np.column_stack((keys[d[cut]], place[cut], place[cut] + n + window - 1)))
-        got = np.concatenate(out) if out else np.zeros((0, 4), np.int64)
-        return pa.table({c: pa.array(np.ascontiguousarray(got[:, k])) for k, c in enumerate(("k1", "k2", "lo", "hi"))})
+                    sure.append(places(p, own, window))
+        return ranges_table(sure, [])
+
+    return both.mapInArrow(send, "g long, kind int, blob binary").repartition(groups, "g").groupBy("g").applyInArrow(tree, RANGES)
+
+
+def merged(los: list[int], his: list[int], window: int) -> list[tuple[int, int]]:
+    """Ranges of words whose windows are exactly the windows of the given ranges."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(zip(los, his, strict=True)):
+        if out and lo <= out[-1][1] - window + 1:  # the next window follows the last one, or is one of them
+            out[-1] = (out[-1][0], max(out[-1][1], hi))
+        else:
+            out.append((lo, hi))
+    return out
 
-    sent = rows.mapInArrow(send, "g long, kind int, blob binary")
-    return sent.groupBy("g").applyInArrow(compare, "k1 long, k2 long, lo long, hi long")
+
+def by_row(ranges: DataFrame, label: str) -> DataFrame:
+    """(k1, k2, ranges) of distinct ranges, written; broadcast to a join where they are few, else joined by exchange."""
+    own = materialize(ranges.select("k1", "k2", "lo", "hi").distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), label)
+    size = own.agg(F.sum(F.size("ranges") * 16 + 32).alias("n")).first()["n"] or 0
+    return F.broadcast(own) if size <= BROADCAST_BYTES else own.hint("merge")
+
+
+def repeated_ranges(docs: DataFrame, id_col: str, text_col: str, window: int = 35) -> DataFrame:
+    """(k1, k2, ranges): word ranges of rows that are covered by windows which start elsewhere, too.
+
+    A row's key is the hash of its id and of its text; rows equal in both share their ranges.
+    """
+    text = F.col(f"`{text_col}`").cast("string")
+    chars = docs.select(F.sum(F.length(text)).alias("n")).first()["n"] or 0
+    rows = docs.select(F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{id_col}`").isNull()).alias("k1"), text_key(text).alias("k2"), F.encode(F.coalesce(text, F.lit("")), "utf-8").alias("text"))
+    dealt = docs.sparkSession.sparkContext.broadcast(heavy_anchors(rows, window).tobytes())
+    found = materialize(suspects(rows, max(32, chars // 6 // GROUP + 1), window, dealt), "suspected-ranges")
+    n = found.filter("not sure").agg(F.sum(F.col("hi") - F.col("lo") - (window - 1)).alias("n")).first()["n"] or 0
+    sure = found.filter("sure")
+    if n:
+        # A suspect brings some three words with it, so a group has fewer of them.
+        side = by_row(found.filter("not sure"), "suspects-by-row")
+        sure = sure.union(confirmed(rows, side, max(32, 4 * n // GROUP + 1), window, dealt))
+    return by_row(sure, "repeated-ranges")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35) -> DataFrame:
@@ -295,10 +459,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``kept`` is the remaining words joined by one space. Null texts have no words; texts below ``window`` words keep
     all; of repeated rows every one loses its windows. Null ids keep their rows; other columns are not read.
     """
-    ranges = repeated_ranges(docs, id_col, text_col, window)
-    ranges = materialize(ranges.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "repeated-ranges")
-    size = ranges.agg(F.sum(F.size("ranges") * 16 + 32).alias("n")).first()["n"] or 0
-    side = F.broadcast(ranges) if size <= BROADCAST_BYTES else ranges.hint("merge")
+    side = repeated_ranges(docs, id_col, text_col, window)
     text = F.col(f"`{text_col}`").cast("string")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{id_col}`").isNull()).alias("k1"), text_key(text).alias("k2"))
     both = rows.join(side, ["k1", "k2"], "left").select("id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("text"), F.col("ranges.lo").alias("lo"), F.col("ranges.hi").alias("hi"))

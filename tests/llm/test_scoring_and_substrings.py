@@ -9,6 +9,8 @@ import numpy as np
 import pytest
 from common import bag, docs_at, duck, odd_docs, odd_rows, same_as_sql, sentence, words
 
+from pyspark.sql import functions as F
+
 from tallyloom.llm import backoff, substrings
 
 
@@ -124,3 +126,58 @@ def test_window_minimum():
     x = np.random.default_rng(1).integers(0, 99, 50)
     for width in (1, 2, 3, 7, 8, 28):
         assert substrings.least_of(x, width).tolist() == [min(x[i : i + width]) for i in range(50 - width + 1)]
+
+
+def weak(word: bytes) -> int:
+    """Few different hashes, so different windows share one."""
+    return len(word) % 2
+
+
+def test_equality_in_a_chunk_is_of_words(spark):
+    rng = random.Random(8)
+    lists = [[rng.choice([b"a", b"b", b"cc"]) for _ in range(rng.randrange(30))] for _ in range(40)]
+    for window in (1, 3, 5):
+        chunk = substrings.Chunk(lists, window, weak)
+        order, new = chunk.classes()
+        text = [w for ws in lists for w in ws]
+        by = {}
+        for k, first in zip(order.tolist(), new.tolist()):
+            by.setdefault(tuple(text[chunk.at[k] : chunk.at[k] + window]), []).append(first)
+        assert sum(map(len, by.values())) == sum(max(0, len(ws) - window + 1) for ws in lists)
+        assert all(x[0] and not any(x[1:]) for x in by.values())
+
+
+def test_deep_leaves_equal_brute_force():
+    rng = np.random.default_rng(4)
+    for window in (1, 2, 3, 5, 8, 12, 35):
+        ids = np.concatenate([rng.integers(0, 3, 200), np.tile(rng.integers(0, 9, 40), 3), rng.integers(0, 99, 60)])
+        leaves = np.sort(rng.choice(len(ids) - window + 1, 150, replace=False))
+        seen = Counter(tuple(ids[k : k + window]) for k in leaves)
+        assert substrings.deep_leaves(ids, leaves, window).tolist() == [seen[tuple(ids[k : k + window])] > 1 for k in leaves]
+
+
+def test_what_is_only_suspected_stays(spark):
+    """Every word of every text suspected: the trees remove what brute force removes."""
+    rows = [(k, " ".join(sentence(j, 20) for j in (k % 6, k % 4 + 9)), "", "", 0) for k in range(25)] + [(90, "one two " * 9, "", "", 0), (91, "one", "", "", 0)]
+    docs = odd_docs(spark, rows)
+    keyed = docs.select("doc_id", F.xxhash64("doc_id", F.col("doc_id").isNull()).alias("k1"), substrings.text_key(F.col("text")).alias("k2"), F.encode("text", "utf-8").alias("text"))
+    side = keyed.select("k1", "k2", F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.lit(10**6).cast("long").alias("hi"))).alias("ranges"))
+    dealt = spark.sparkContext.broadcast(np.zeros(0, np.int32).tobytes())
+    got = substrings.confirmed(keyed.drop("doc_id"), side, 5, 9, dealt)
+    gone = {}
+    for r in got.join(keyed.select("doc_id", "k1", "k2"), ["k1", "k2"]).collect():
+        gone.setdefault(r["doc_id"], set()).update(range(r["lo"], r["hi"]))
+    assert Counter({(i, len(gone.get(i, ()))): 1 for i, *_ in rows}) == Counter({(i, n): 1 for i, _, n, _ in kept(rows, 9)})
+
+
+def test_texts_of_two_words_and_of_very_long_words(spark):
+    morse = ["x" if k.bit_count() % 2 else "y" for k in range(4096)]
+    long = "z" * 2_000_000
+    rows = [(1, " ".join(morse)), (2, " ".join("y" if w == "x" else "x" for w in morse)), (3, " ".join(morse[:70])), (4, f"{long} " + sentence(3, 50)), (5, sentence(3, 50) + f" {long}"), (6, " ".join([long] * 3))]
+    rows = [(i, t, "", "", 0) for i, t in rows]
+    assert bag(substrings.without_repeats(odd_docs(spark, rows)), *RESULT) == kept(rows)
+
+
+def test_ranges_that_touch_are_one():
+    assert substrings.merged([0, 5, 60], [40, 50, 99], 35) == [(0, 50), (60, 99)]
+    assert substrings.merged([0, 6], [40, 41], 35) == [(0, 41)] and substrings.merged([0, 7], [40, 42], 35) == [(0, 40), (7, 42)]
