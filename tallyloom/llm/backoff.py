@@ -21,8 +21,8 @@ The rows of a bigram that a third of all texts hold would fill one group. So the
 ``HEAVY`` most frequent bigrams of hot words, found in the pass that counts words,
 go another way: each task sums their counts, their rows stay with their chunk, and
 the counts (a table of bounded size) come to the chunks. A bigram that is not among
-those occurs less than ``OFTEN`` times in every chunk, or less often than ``HEAVY``
-others, or has a word less frequent than ``HOT`` others; each bounds its rows by a
+those occurs less than ``OFTEN`` times in every chunk, or no more often than ``HEAVY``
+others, or has a word no more frequent than ``HOT`` others; each bounds its rows by a
 small part of the table. Apart from ``MIN_DOCS``, which leaves a bigram of one row
 out of the model however often it occurs there, no word or bigram is dropped for
 being rare, frequent or many, and the scores do not depend on which way a bigram goes.
@@ -114,6 +114,21 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "v long, w long, c long").groupBy("v", "w").agg(F.sum("c").alias("c"))
 
 
+def most_frequent(counts: DataFrame, n: int) -> DataFrame:
+    """Rows of ``counts(.., c)`` from some count on: as many as there can be without being more than ``n``.
+
+    The bound comes from a histogram of some thousand bins, so neither tasks nor driver hold more rows than are wanted.
+    """
+    bins = counts.groupBy(F.floor(F.log2("c") * 64).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low")).orderBy(F.desc("bin")).collect()
+    total, bound = 0, None
+    for b in bins:
+        total += b["n"]
+        if total > n:
+            break
+        bound = b["low"]
+    return counts.filter(F.lit(False) if bound is None else F.col("c") >= bound)
+
+
 class HotWords:
     """The most frequent words by hash, with counts."""
 
@@ -249,10 +264,10 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alph
     counted_words = materialize(word_counts(rows), "word-counts")
     words = counted_words.filter("v is null").select("w", "c")
     total = words.agg(F.sum("c").alias("n")).first()["n"] or 0
-    top = words.orderBy(F.desc("c"), "w").limit(HOT).collect()  # HOT rows: which words travel as ranks, nothing else
+    top = most_frequent(words, HOT).collect()  # HOT rows at most: which words travel as ranks, nothing else
     hot = HotWords(np.array([r["w"] for r in top], np.int64).view(np.uint64), np.array([r["c"] for r in top], np.int64))
     groups = max(16, total // GROUP + 1)
-    pairs = counted_words.filter("v is not null").orderBy(F.desc("c"), "v", "w").limit(HEAVY).select("v", "w").collect()  # HEAVY rows, likewise
+    pairs = most_frequent(counted_words.filter("v is not null"), HEAVY).select("v", "w").collect()  # HEAVY rows, likewise
     heavy = HeavyPairs(*(np.array([r[c] for r in pairs], np.int64).view(np.uint64) for c in ("v", "w")), hot)
     n_heavy = len(heavy.pair)
     shared_hot = docs.sparkSession.sparkContext.broadcast((hot.w.tobytes(), hot.c.tobytes(), heavy.first.tobytes(), heavy.second.tobytes()))
@@ -372,7 +387,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alph
         )
 
     schema = f"kind int, g long, row long, id {id_type}, n long, blob binary"
-    counted = materialize(sent.groupBy("g").applyInArrow(count, schema), "bigram-sums")
+    counted = materialize(sent.repartition(groups, "g").groupBy("g").applyInArrow(count, schema), "bigram-sums")  # a group is a task
 
     def answer(key, requests: pa.Table, counts: pa.Table) -> pa.Table:
         """Sums that the requests of a hash group add to the rows."""
@@ -421,7 +436,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alph
 
     asked = counted.filter("kind = 2").select("g", "blob")
     keyed = words.select(F.col("w"), F.col("c"), group_of(F.col("w"), groups).alias("g"))
-    answers = asked.groupBy("g").cogroup(keyed.groupBy("g")).applyInArrow(answer, "g long, blob binary")
+    answers = asked.repartition(groups, "g").groupBy("g").cogroup(keyed.repartition(groups, "g").groupBy("g")).applyInArrow(answer, "g long, blob binary")
     sums = counted.filter("kind in (0, 4)").select("kind", "g", "blob").union(answers.select(F.lit(0), "g", "blob"))
 
     def finish(key, parts: pa.Table, listed: pa.Table) -> pa.Table:
@@ -437,7 +452,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alph
         return pa.table({"id": listed.column("id"), "n_words": pa.array(n), "n_backoff": pa.array(b), "log_score": pa.array(s), "mean_log_score": mean})
 
     listed = counted.filter("kind = 1").select("g", "row", "id", "n")
-    out = sums.groupBy("g").cogroup(listed.groupBy("g")).applyInArrow(finish, f"id {id_type}, n_words long, n_backoff long, log_score double, mean_log_score double")
+    out = sums.repartition(groups, "g").groupBy("g").cogroup(listed.repartition(groups, "g").groupBy("g")).applyInArrow(finish, f"id {id_type}, n_words long, n_backoff long, log_score double, mean_log_score double")
     return out.withColumnRenamed("id", id_col)
 
 
