@@ -113,9 +113,10 @@ class Chunk:
     def __init__(self, words: list[list[bytes]], window: int, hash_of=xxhash.xxh64_intdigest) -> None:
         numbers, counts = Numbers(), np.fromiter(map(len, words), np.int64, len(words))
         self.window = window
-        self.ids = np.fromiter((numbers[w] for ws in words for w in ws), np.int64, int(counts.sum()))
+        self.ids = np.fromiter((numbers[w] for ws in words for w in ws), np.int32, int(counts.sum()))
+        del words
         self.vocabulary = list(numbers)
-        self.doc, self.first = np.repeat(np.arange(len(counts)), counts), np.cumsum(counts) - counts
+        self.doc, self.first = np.repeat(np.arange(len(counts), dtype=np.int32), counts), np.cumsum(counts) - counts
         known = np.fromiter(map(hash_of, self.vocabulary), np.uint64, len(self.vocabulary))
         self.at, self.anchor, self.whole = suffixes(known[self.ids], self.doc, window)
 
@@ -145,7 +146,7 @@ class Chunk:
         return order, new
 
 
-BLOB = struct.Struct("<IIII")
+BLOB = struct.Struct("<IIIIB")
 
 
 def packed(chunk: Chunk, keys: np.ndarray, doc: np.ndarray, start: np.ndarray, length: np.ndarray, anchor: np.ndarray, whole: np.ndarray | None, place: np.ndarray) -> bytes:
@@ -153,17 +154,17 @@ def packed(chunk: Chunk, keys: np.ndarray, doc: np.ndarray, start: np.ndarray, l
     here, local = np.unique(doc, return_inverse=True)
     runs = (keys[here].tobytes(), anchor.astype("<u8").tobytes(), local.astype("<u4").tobytes(), start.astype("<u4").tobytes(), length.astype("<u4").tobytes())
     if whole is not None:
-        return BLOB.pack(len(here), len(doc), len(whole), 0) + b"".join(runs) + whole.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SENT].tobytes()
+        return BLOB.pack(len(here), len(doc), len(whole), 0, 0) + b"".join(runs) + whole.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SENT].tobytes()
     span = length + chunk.window - 1
     words = np.repeat(place - (np.cumsum(span) - span), span) + np.arange(int(span.sum()))
     used, ids = np.unique(chunk.ids[words], return_inverse=True)
-    spelled = b" ".join(chunk.vocabulary[k] for k in used.tolist())
-    return BLOB.pack(len(here), len(doc), len(ids), len(spelled)) + b"".join(runs) + ids.astype("<u4").tobytes() + spelled
+    spelled, wide = b" ".join(chunk.vocabulary[k] for k in used.tolist()), 1 if len(used) <= 1 << 8 else 2 if len(used) <= 1 << 16 else 4
+    return BLOB.pack(len(here), len(doc), len(ids), len(spelled), wide) + b"".join(runs) + ids.astype(f"<u{wide}").tobytes() + spelled
 
 
 def unpacked(blob: bytes) -> tuple[np.ndarray, ...]:
     """(keys, anchor, doc, start, length, hashes or word numbers, words)."""
-    docs, runs, n, spelled = BLOB.unpack_from(blob)
+    docs, runs, n, spelled, width = BLOB.unpack_from(blob)
     at = BLOB.size
 
     def take(kind: str, count: int) -> np.ndarray:
@@ -175,7 +176,7 @@ def unpacked(blob: bytes) -> tuple[np.ndarray, ...]:
     keys, anchor = take("<i8", 2 * docs).reshape(-1, 2), take("<u8", runs)
     doc, start, length = take("<u4", runs), take("<u4", runs), take("<u4", runs)
     if spelled:
-        body, words = take("<u4", n).astype(np.int64), blob[at : at + spelled].split(b" ")
+        body, words = take(f"<u{width}", n).astype(np.int64), blob[at : at + spelled].split(b" ")
     else:
         wide = np.zeros((n, 8), np.uint8)
         wide[:, :SENT] = take("u1", SENT * n).reshape(-1, SENT)
@@ -285,7 +286,7 @@ def batches_of(rows: Iterator[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatc
     out = list(rows)
     for lo in range(0, len(out), 16):
         g, kind, blob = zip(*out[lo : lo + 16])
-        yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())], names=["g", "kind", "blob"])
+        yield pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())], names=["g", "kind", "blob"])
 
 
 def deep_leaves(ids: np.ndarray, leaves: np.ndarray, window: int) -> np.ndarray:
@@ -363,7 +364,7 @@ def suspects(rows: DataFrame, groups: int, window: int, dealt) -> DataFrame:
                     out.append(places(p, own, window))
         return ranges_table(sure, out)
 
-    return rows.mapInArrow(send, "g long, kind int, blob binary").repartition(groups, "g").groupBy("g").applyInArrow(compare, RANGES)
+    return rows.mapInArrow(send, "g int, kind int, blob binary").repartitionById(groups, F.col("g")).groupBy("g").applyInArrow(compare, RANGES)
 
 
 def confirmed(rows: DataFrame, side: DataFrame, groups: int, window: int, dealt) -> DataFrame:
@@ -413,7 +414,7 @@ def confirmed(rows: DataFrame, side: DataFrame, groups: int, window: int, dealt)
                     sure.append(places(p, own, window))
         return ranges_table(sure, [])
 
-    return both.mapInArrow(send, "g long, kind int, blob binary").repartition(groups, "g").groupBy("g").applyInArrow(tree, RANGES)
+    return both.mapInArrow(send, "g int, kind int, blob binary").repartitionById(groups, F.col("g")).groupBy("g").applyInArrow(tree, RANGES)
 
 
 def merged(los: list[int], his: list[int], window: int) -> list[tuple[int, int]]:
