@@ -13,9 +13,9 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.operators import compare, reports, review, runs, sampling, scoring
-from tallyloom.operators.answering import HashAnswerer
+from tallyloom.operators.answering import AnswerError, HashAnswerer, LexicalAnswerer, http_answerer
 from tallyloom.plans import questions as Q
-from tallyloom.sources import corpus
+from tallyloom.sources import corpus, files
 
 
 def session() -> SparkSession:
@@ -35,10 +35,24 @@ def cmd_estimate(spark, args) -> int:
     return 0
 
 
+def _answerer(args, salt: str = ""):
+    """digest: repeatable nonsense from ids, for trying things out (``salt`` makes variants differ); http: a service, which sees what is asked."""
+    if args.answerer == "http":
+        if not args.url:
+            raise ValueError("--url is missing")
+        return http_answerer(args.url, args.model or "default", args.key_env, concurrency=args.concurrency, ceiling=max(args.concurrency, args.ceiling))
+    return HashAnswerer(salt=salt, **({"model": args.model} if args.model else {}))
+
+
 def cmd_run(spark, args) -> int:
-    r = runs.run(spark, args.input, Q.load(args.questions), HashAnswerer(), args.out, args.budget, args.limit, args.id_field, args.resume)
+    r = runs.run(
+        spark, args.input, Q.load(args.questions), _answerer(args), args.out, args.budget, args.limit, args.id_field, args.resume, wave_cells=args.wave_cells,
+        on_progress=None if args.quiet else lambda p: print(p.line(), file=sys.stderr, flush=True),
+    )
     print(f"{r.run_dir}: {r.processed} documents, {r.already_done} done before, {r.skipped} skipped, {r.quarantined} in quarantine, {r.cache_hits} hits, {r.cache_misses} misses, ${Q.micro_usd_to_usd(Q.tokens_to_micro_usd(r.tokens_charged)):.4f}")
-    return 1 if r.exhausted or r.skipped else 0
+    if r.interrupted or r.exhausted:
+        print(f"{'stopped' if r.interrupted else 'the budget is spent'}; go on with: tallyloom run --input {args.input} --questions {args.questions} --out {args.out} --resume {r.run_id}" + (f" --id-field {args.id_field}" if args.id_field else ""))
+    return 130 if r.interrupted else 1 if r.exhausted or r.skipped else 0
 
 
 def cmd_label(spark, args) -> int:
@@ -92,13 +106,22 @@ def cmd_review_import(spark, args) -> int:
     return 0
 
 
+def _answered(spark, path: str, qs, args, root: str, salt: str = ""):
+    """Cells of the documents of a Parquet table, by a run of their own unless the answerer is free."""
+    if args.answerer != "http":
+        return runs.cells_of(corpus.normalize(corpus.read_source(spark, path), "doc_id")[0], qs, _answerer(args, salt))
+    return corpus.read_cells(spark, runs.run(spark, path, qs, _answerer(args), root, args.budget, id_field="doc_id").cells_path)
+
+
 def cmd_tune(spark, args) -> int:
-    reference = Q.load(args.questions)
-    docs = sampling.random_rows(_documents(spark, args), args.sample, args.seed)
-    base, out = runs.cells_of(docs, reference, HashAnswerer()), None
+    """One sample, written beside the report and used for the reference and every variant."""
+    reference, sample = Q.load(args.questions), f"{args.out}.sample.parquet"
+    files.remove(sample)
+    sampling.random_rows(_documents(spark, args), args.sample, args.seed).drop("row_index", "id_source").write.parquet(sample)
+    base, out = _answered(spark, sample, reference, args, f"{args.out}.runs"), None
     for path in args.variants:
         v = Q.load(path)
-        agreed = compare.agreement(base, runs.cells_of(docs, v, HashAnswerer(salt=v.name)))
+        agreed = compare.agreement(base, _answered(spark, sample, v, args, f"{args.out}.runs", v.name))
         rows = compare.variant_report(agreed, v.name, reference, v)
         out = rows if out is None else out.unionByName(rows)
     corpus.write_csv(out, args.out, overwrite=True)
@@ -106,24 +129,38 @@ def cmd_tune(spark, args) -> int:
 
 
 def cmd_ablation(spark, args) -> int:
-    qs = Q.load(args.questions)
+    qs, root = Q.load(args.questions), f"{args.gold}.runs"
     docs = _documents(spark, args)
-    wide = Q.widened(qs, [c for c in docs.columns if c not in ("doc_id", "row_index", "id_source")])
-    gold = corpus.read_labels(spark, args.gold)
-    frames = [scoring.accuracy(sampling.gold_join(gold, runs.cells_of(docs, s, HashAnswerer(salt=x)))) for s, x in ((qs, ""), (wide, "full"))]
-    compare.ablation(*frames).show(truncate=False)
+    fields = [c for c in docs.columns if c not in ("doc_id", "row_index", "id_source")]
+    wide, gold = Q.widened(qs, fields), corpus.read_labels(spark, args.gold)
+    if args.answerer == "http":
+        cells = [corpus.read_cells(spark, runs.run(spark, args.input, s, _answerer(args), root, args.budget, id_field=args.id_field).cells_path) for s in (qs, wide)]
+    else:
+        cells = [runs.cells_of(docs, s, _answerer(args, x)) for s, x in ((qs, ""), (wide, "full"))]
+    compare.ablation(*(scoring.accuracy(sampling.gold_join(gold, c)) for c in cells)).show(truncate=False)
     return 0
 
 
 def cmd_demo(spark, args) -> int:
-    from tallyloom import catalog
-
-    docs = catalog.docs_of(spark, args.input).withColumn("doc_id", F.col("doc_id").cast("string"))
-    print(reports.estimate_text(reports.estimate(docs, catalog.QS)))
-    if not args.dry_run:
-        scored = scoring.score_questions(catalog.joined(spark, args.input))
-        gates = spark.createDataFrame(catalog.GATES, "question_id string, gate string")
-        print(reports.validation_text([r.asDict() for r in scoring.verdicts(scored, gates).collect()]))
+    """Invented tickets, answered by their words: estimate, run, gold answers, validation."""
+    import tempfile
+
+    from tallyloom import demo
+
+    qs, root = Q.load(demo.QUESTIONS), args.out or tempfile.mkdtemp(prefix="tallyloom-demo-")
+    source = f"{root}/tickets.parquet"
+    files.remove(source)
+    rows = spark.createDataFrame(demo.tickets(args.tickets), "ticket_id string, subject string, body string, topic string, urgent string")
+    rows.drop("topic", "urgent").write.parquet(source)
+    print(reports.estimate_text(reports.estimate(corpus.normalize(corpus.read_source(spark, source), "ticket_id")[0], qs)))
+    if args.dry_run:
+        return 0
+    r = runs.run(spark, source, qs, LexicalAnswerer(demo.WORDS, "body"), f"{root}/runs", id_field="ticket_id")
+    gold = [rows.select(F.col("ticket_id").alias("doc_id"), F.lit(q).alias("question_id"), F.col(c).alias("gold_answer"), F.lit(1.0).alias("stratum_weight")) for q, c in (("is_urgent", "urgent"), ("topic", "topic"))]
+    cells = corpus.read_cells(spark, r.cells_path)
+    scored = scoring.score_questions(sampling.gold_join(gold[0].unionByName(gold[1]), cells), 0.9)
+    print(reports.validation_text([x.asDict() for x in scoring.verdicts(scored, cells.groupBy("question_id").agg(F.first("gate").alias("gate"))).collect()]))
+    print(f"everything is in {root}")
     return 0
 
 
@@ -140,16 +177,17 @@ def parser() -> argparse.ArgumentParser:
     need = lambda x: ((f"--{x}",), {"required": True})
     num = lambda x, kind, default: ((f"--{x}",), {"type": kind, "default": default})
     ids = (("--id-field",), {"default": None})
+    asked = ((("--answerer",), {"choices": ("digest", "http"), "default": "digest"}), num("url", str, None), num("model", str, None), num("key-env", str, None), num("concurrency", int, 4), num("ceiling", int, 16))
     verb("estimate", cmd_estimate, need("input"), need("questions"), num("sample", int, 200), ids)
-    verb("run", cmd_run, need("input"), need("questions"), need("out"), num("budget", float, 1.0), num("limit", int, None), ids, (("--resume",), {"default": None}))
+    verb("run", cmd_run, need("input"), need("questions"), need("out"), num("budget", float, 1.0), num("limit", int, None), ids, (("--resume",), {"default": None}), num("wave-cells", int, runs.WAVE_CELLS), (("--quiet",), {"action": "store_true"}), *asked)
     verb("label", cmd_label, need("run"), need("question"), need("out"), num("n", int, 200), num("strata", int, 5), num("seed", int, 0), (("--include-chunked",), {"action": "store_true"}), (("--overwrite",), {"action": "store_true"}))
     verb("validate", cmd_validate, need("run"), (("--gold",), {"required": True, "nargs": "+"}), num("target", float, 0.99), num("floor", float, 0.9))
     verb("report", cmd_report, need("run"))
     verb("review-export", cmd_review_export, need("run"), need("out"))
     verb("review-import", cmd_review_import, need("run"), need("file"), need("reviewer"))
-    verb("tune", cmd_tune, need("input"), need("questions"), (("--variants",), {"required": True, "nargs": "+"}), need("out"), num("sample", int, 300), num("seed", int, 0), ids)
-    verb("ablation", cmd_ablation, need("input"), need("questions"), need("gold"), ids)
-    verb("demo", cmd_demo, num("input", str, "/root/testdata/sf0.001"), (("--dry-run",), {"action": "store_true"}))
+    verb("tune", cmd_tune, need("input"), need("questions"), (("--variants",), {"required": True, "nargs": "+"}), need("out"), num("sample", int, 300), num("seed", int, 0), num("budget", float, 1.0), ids, *asked)
+    verb("ablation", cmd_ablation, need("input"), need("questions"), need("gold"), num("budget", float, 1.0), ids, *asked)
+    verb("demo", cmd_demo, num("out", str, None), num("tickets", int, 60), (("--dry-run",), {"action": "store_true"}))
     return p
 
 
@@ -159,7 +197,7 @@ def main(argv: list[str] | None = None) -> int:
         return args.f(session(), args)
     except KeyboardInterrupt:
         return 130
-    except (Q.ConfigError, FileExistsError, FileNotFoundError, ValueError) as e:
+    except (Q.ConfigError, AnswerError, FileExistsError, FileNotFoundError, ValueError) as e:
         print(e, file=sys.stderr)
         return 2
 

@@ -9,9 +9,14 @@ twice (each evaluation may cost money).
 from __future__ import annotations
 
 import json
+import os
 import random
+import threading
 import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from enum import Enum
 from typing import Protocol
@@ -26,11 +31,13 @@ ANSWER = "struct<noul:double,choice:string,score:double,probabilities:map<string
 
 
 class ColumnAnswerer(Protocol):
+    """``call_tokens`` is what a call of so many questions is charged: known before it is made."""
+
     model: str
 
     def answer(self, doc_id: Column, state: Column, q: Question) -> Column: ...
 
-    def call_tokens(self, n_questions: int, state_tokens: Column) -> Column: ...
+    def call_tokens(self, n_questions: int | Column, state_tokens: Column) -> Column: ...
 
 
 def digest(doc_id: Column, what: str) -> Column:
@@ -70,8 +77,8 @@ class HashAnswerer:
             pairs += [F.lit(option), w / total]
         return answer_struct(q, probabilities=F.create_map(*pairs))
 
-    def call_tokens(self, n_questions: int, state_tokens: Column) -> Column:
-        return F.lit(50 + 20 * n_questions).cast("bigint")
+    def call_tokens(self, n_questions: int | Column, state_tokens: Column) -> Column:
+        return (F.lit(n_questions) * 20 + 50).cast("bigint")
 
 
 @dataclass(frozen=True)
@@ -96,8 +103,8 @@ class LexicalAnswerer:
         pairs = [x for o, w in zip(q.options, weights, strict=True) for x in (F.lit(o), w / total)]
         return answer_struct(q, probabilities=F.create_map(*pairs))
 
-    def call_tokens(self, n_questions: int, state_tokens: Column) -> Column:
-        return (state_tokens + F.lit(20 * n_questions)).cast("bigint")
+    def call_tokens(self, n_questions: int | Column, state_tokens: Column) -> Column:
+        return (state_tokens + F.lit(n_questions) * 20).cast("bigint")
 
 
 class Failure(Enum):
@@ -131,7 +138,7 @@ def pause(attempt: int, retry_after: float | None = None, rng: Callable[[], floa
     return retry_after if retry_after is not None else rng() * min(30.0, 0.5 * 2**attempt)
 
 
-def with_retries(call: Callable[[], dict], sleep: Callable[[float], None] = time.sleep, limit: AdaptiveLimit | None = None) -> dict:
+def with_retries(call: Callable[[], dict], sleep: Callable[[float], None] = time.sleep, limit: AdaptiveLimit | Gate | None = None) -> dict:
     attempt = 0
     while True:
         try:
@@ -164,6 +171,62 @@ class AdaptiveLimit:
         self.clean, self.limit = 0, max(self.floor, self.limit // 2)
 
 
+class Gate:
+    """As many calls at a time as an ``AdaptiveLimit`` says, while it changes."""
+
+    def __init__(self, limit: AdaptiveLimit) -> None:
+        self.limit, self.busy, self.changed = limit, 0, threading.Condition()
+
+    def __enter__(self) -> None:
+        with self.changed:
+            self.changed.wait_for(lambda: self.busy < self.limit.limit)
+            self.busy += 1
+
+    def __exit__(self, *exc) -> None:
+        with self.changed:
+            self.busy -= 1
+            self.changed.notify_all()
+
+    def on_success(self) -> None:
+        with self.changed:
+            self.limit.on_success()
+            self.changed.notify_all()
+
+    def on_rate_limited(self) -> None:
+        with self.changed:
+            self.limit.on_rate_limited()
+
+
+def http_ask(url: str, model: str, key: str | None = None, timeout: float = 60.0) -> Callable[[dict, list[dict]], dict]:
+    """An ``ask`` that posts ``{"model", "state", "questions": {id: ...}}`` and reads ``{"model", "usage", "answers"}``.
+
+    Statuses, time-outs and unreadable bodies become the failures that the retries know.
+    """
+
+    def ask(state: dict, questions: list[dict]) -> dict:
+        body = {"model": model, "state": state, "questions": {q["id"]: {k: v for k, v in q.items() if k != "id" and v is not None} for q in questions}}
+        head = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {key}"} if key else {})
+        try:
+            with urllib.request.urlopen(urllib.request.Request(url, json.dumps(body).encode(), head), timeout=timeout) as reply:
+                raw = reply.read()
+        except urllib.error.HTTPError as e:
+            wait = e.headers.get("Retry-After", "") if e.headers else ""
+            raise AnswerError(classify(e.code), f"status {e.code}", float(wait) if wait.replace(".", "", 1).isdigit() else None) from e
+        except OSError as e:
+            raise AnswerError(classify(None), str(e)) from e
+        try:
+            return dict(json.loads(raw))
+        except (ValueError, TypeError) as e:
+            raise AnswerError(Failure.DECODE, str(e)) from e
+
+    return ask
+
+
+def http_answerer(url: str, model: str, key_env: str | None = None, **options) -> BatchAnswerer:
+    """The key is read from the driver's environment."""
+    return BatchAnswerer(http_ask(url, model, os.environ.get(key_env) if key_env else None), model, **options)
+
+
 def decode(raw: dict, questions: tuple[Question, ...] | list[Question]) -> tuple[dict[str, dict], list[str]]:
     """({question_id: answer fields}, errors). Any error makes the whole call void."""
     answers, errors, out = raw.get("answers") or {}, [], {}
@@ -188,39 +251,67 @@ def decode(raw: dict, questions: tuple[Question, ...] | list[Question]) -> tuple
     return out, errors
 
 
+NOT_ASKED = f"{Failure.CONFIG.value}: not asked"
+RAW = "doc_id string, projection_id string, chunk_index int, batch int, call_id string, model string, input_tokens bigint, answers string, errors array<string>"
+
+
 @dataclass(frozen=True)
 class BatchAnswerer:
-    """``ask(state, questions) -> {"model", "usage": {"input_tokens"}, "answers": {id: ...}}`` on the executors."""
+    """``ask(state, questions) -> {"model", "usage": {"input_tokens"}, "answers": {id: ...}}`` on the executors.
+
+    A task has ``concurrency`` calls under way at first, up to ``ceiling`` while none is refused, half after a refusal;
+    the whole run has that for each task that runs at a time. ``ask`` must bear several threads where ``ceiling`` > 1.
+    """
 
     ask: Callable[[dict, list[dict]], dict]
     model: str = "batch-1"
+    concurrency: int = 4
+    ceiling: int = 16
+
+    def run(self, calls: DataFrame, group: CallGroup) -> DataFrame:
+        """A row for each of ``calls(doc_id, projection_id, chunk_index, batch, state json, asked array<string>)``, answers as an array.
 
-    def run(self, states: DataFrame, group: CallGroup) -> DataFrame:
-        """(doc_id, chunk_index, chunk_count, call_id, model, input_tokens, answers array, errors) of ``states(doc_id, chunk_index, chunk_count, state json)``."""
-        questions, ask = group.questions, self.ask
-        asked = [{"id": q.id, "type": q.type, "instructions": q.instructions, "criteria": q.criteria} for q in questions]
+        A call whose answers don't decode has errors, no answers, and the tokens it was charged. After a fatal failure the
+        task asks no more; the calls it leaves have the error ``NOT_ASKED`` and no tokens.
+        """
+        about = {q.id: q for q in group.questions}
+        ask, first, most = self.ask, self.concurrency, self.ceiling
 
-        def calls(frames: Iterator) -> Iterator:
+        def one(row, gate: Gate, fatal: threading.Event) -> tuple:
             import hashlib
 
+            doc_id, projection_id, chunk_index, batch, state, asked = row
+            call_id = hashlib.sha256(f"{doc_id}|{projection_id}|{chunk_index}|{batch}".encode()).hexdigest()[:16]
+            questions = [about[k] for k in asked]
+            sent = [{"id": q.id, "type": q.type, "instructions": q.instructions, "criteria": q.criteria} for q in questions]
+
+            def call() -> dict:
+                with gate:
+                    return ask(json.loads(state), sent)
+
+            got, errors, model, used = {}, [], None, 0
+            if fatal.is_set():
+                errors = [NOT_ASKED]
+            else:
+                try:
+                    raw = with_retries(call, limit=gate)
+                    model, used = raw.get("model"), int((raw.get("usage") or {}).get("input_tokens") or 0)
+                    got, errors = decode(raw, questions)
+                except AnswerError as e:
+                    errors = [f"{e.failure.value}: {e}"]
+                    if e.failure is Failure.CONFIG:
+                        fatal.set()
+            return doc_id, projection_id, chunk_index, batch, call_id, model, used, json.dumps([] if errors else [{"question_id": k, **v} for k, v in got.items()]), errors
+
+        def answer(frames: Iterator) -> Iterator:
             import pandas as pd
 
-            for frame in frames:
-                rows = []
-                for r in frame.itertuples(index=False):
-                    call_id = hashlib.sha256(f"{r.doc_id}|{group.projection_id}|{r.chunk_index}".encode()).hexdigest()[:16]
-                    try:
-                        raw = with_retries(lambda r=r: ask(json.loads(r.state), asked))
-                        got, errors = decode(raw, questions)
-                        model, used = raw.get("model"), int((raw.get("usage") or {}).get("input_tokens", 0))
-                    except AnswerError as e:
-                        if e.failure is Failure.CONFIG:
-                            raise
-                        got, errors, model, used = {}, [f"{e.failure.value}: {e}"], None, 0
-                    rows.append((r.doc_id, r.chunk_index, r.chunk_count, call_id, model, used, json.dumps([] if errors else [{"question_id": k, **v} for k, v in got.items()]), errors))
-                yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "chunk_count", "call_id", "model", "input_tokens", "answers", "errors"])
-
-        schema = "doc_id string, chunk_index int, chunk_count int, call_id string, model string, input_tokens bigint, answers string, errors array<string>"
-        out = states.mapInPandas(calls, schema)
+            gate, fatal = Gate(AdaptiveLimit(min(first, most), most)), threading.Event()
+            with ThreadPoolExecutor(most) as pool:
+                for frame in frames:
+                    rows = pool.map(lambda r: one(r, gate, fatal), frame.itertuples(index=False, name=None))
+                    yield pd.DataFrame(list(rows), columns=[x.split(" ")[0] for x in RAW.split(", ")])
+
+        asked = calls.select("doc_id", "projection_id", "chunk_index", "batch", "state", "asked")
         kind = "array<struct<question_id:string," + ANSWER.removeprefix("struct<") + ">"
-        return out.withColumn("answers", F.from_json("answers", kind))
+        return asked.mapInPandas(answer, RAW).withColumn("answers", F.from_json("answers", kind))

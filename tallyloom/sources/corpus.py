@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import json
-import os
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.functions.schemas import schema
+from tallyloom.sources import files
+from tallyloom.sources.files import read_json, write_json  # noqa: F401
 
 CELL_SCHEMA = schema(
     "doc_id string, question_id string, type string, noul double, choice string, score double, probabilities map<string,double>, legend map<string,string>, confidence double, confidence_source string, gate string, "
@@ -51,14 +52,34 @@ def plain(df: DataFrame) -> DataFrame:
     return df.withColumns(cast) if cast else df
 
 
+PLACE, FILE, MANY_FILES = "__row_place", "__row_file", 100_000
+
+
+def with_places(df: DataFrame) -> DataFrame | None:
+    """``df`` with each row's number over all files, if its files number their rows: rows of earlier files plus the row's own."""
+    try:
+        located = df.select("*", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(PLACE))
+    except AnalysisException:
+        return None
+    sizes = located.groupBy(FILE).agg((F.max(PLACE) + 1).alias("n"))
+    # A row for each file: the running sum over them is small.
+    before = sizes.select(FILE, (F.sum("n").over(Window.orderBy(FILE)) - F.col("n")).alias("__rows_before"))
+    if before.count() <= MANY_FILES:
+        before = F.broadcast(before)
+    return located.join(before, FILE).withColumn(PLACE, F.col(PLACE) + F.col("__rows_before")).drop(FILE, "__rows_before")
+
+
 def normalize(df: DataFrame, id_field: str | None = None, order: list | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, quarantine): ``doc_id``, ``row_index`` and ``id_source`` in front of the fields.
 
     Without ``id_field`` the id is the hash of the row's fields. The first row of an id stays; rows without an id and
-    later rows of one go to quarantine with a reason. ``order`` (columns) is the row order; the default is the scan's.
+    later rows of one go to quarantine with a reason. ``order`` (columns) is the row order; the default is the place in
+    the files: by path, then by row. Parquet tells it, however the files are split; of other formats it is the scan's.
     """
     fields = plain(df)
     position = F.monotonically_increasing_id()
+    if order is None and (placed := with_places(fields)) is not None:
+        fields, position = placed, F.col(PLACE)
     if id_field:
         own = F.col(f"`{id_field}`").cast("string")
         doc_id = F.when(own != "", own)
@@ -87,10 +108,8 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, overwrite: bool = False) -> None:
-    """One CSV file for people: bounded tables only (labels, review queues, reports)."""
-    if os.path.exists(path) and not overwrite:
-        raise FileExistsError(path)
-    df.toPandas().to_csv(path, index=False)
+    """One CSV file for people: labels, review queues, reports."""
+    files.write_one(df, path, overwrite)
 
 
 def write_cells(cells: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -103,18 +122,3 @@ def read_cells(spark: SparkSession, path: str, question_id: str | None = None, c
     if question_id is not None:
         df = df.filter(F.col("question_id") == question_id)
     return df if chunked else df.filter("chunk_count = 1")
-
-
-def write_json(path: str, value) -> None:
-    """Whole or not at all."""
-    tmp = f"{path}.tmp"
-    with open(tmp, "w", encoding="utf-8") as f:
-        json.dump(value, f, indent=1, ensure_ascii=False, default=str)
-    os.replace(tmp, path)
-
-
-def read_json(path: str):
-    if not os.path.exists(path):
-        return None
-    with open(path, encoding="utf-8") as f:
-        return json.load(f)

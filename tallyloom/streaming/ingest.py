@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.operators.answering import ColumnAnswerer
-from tallyloom.operators.runs import cells_of
+from tallyloom.operators.runs import cells_of, remaining
 from tallyloom.plans.questions import QuestionSet, call_groups, require_fields
+from tallyloom.sources import files
 
 
 def answer_stream(spark: SparkSession, source: str, schema: T.StructType, id_field: str, qs: QuestionSet, answerer: ColumnAnswerer, out: str, checkpoint: str, files_per_batch: int = 64):
     """Answer what is in ``source`` and not yet answered, then stop; the query that did it.
 
-    A batch is written under its number, so a batch that is run again replaces itself: each document's cells are
-    committed once. Restarting with the same ``checkpoint`` resumes.
+    A batch is written under its number, so a batch that is run again replaces itself, and leaves out the ids that other
+    batches have committed: each document's cells are committed once, by the batch that saw it first. Restarting with
+    the same ``checkpoint`` resumes.
     """
     require_fields(call_groups(qs), schema.fieldNames())
     docs = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
@@ -23,6 +25,9 @@ def answer_stream(spark: SparkSession, source: str, schema: T.StructType, id_fie
 
     def commit(batch: DataFrame, number: int) -> None:
         one = batch.dropDuplicates(["doc_id"])
+        if files.has_rows(out):
+            known = spark.read.parquet(out).filter(F.col("batch") != number).select("doc_id").distinct()
+            one = remaining(one, known)
         cells_of(one, qs, answerer).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return docs.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
