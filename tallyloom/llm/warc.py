@@ -8,7 +8,10 @@ Index: captures are sorted by reversed-host URL key (range partitions), cut into
 blocks of ``BLOCK`` lines and compressed; a block directory keeps each block's
 first key, file, offset and length. The directory is sparse: one row for
 ``BLOCK`` captures. A look-up finds the block by binary search, reads that range,
-and then reads the records' ranges from the archives.
+and then reads the records' ranges from the archives. ``Lookup`` does so for one
+url; ``look_up`` for a table of urls on the cluster: an index file holds one range
+of keys, so the files' own key ranges (a row for each task that wrote the index)
+come first, then the blocks of a file, then the lines of a block.
 
 Archives and blocks are written and read by pyarrow file systems, so the shared
 folder may be any that has one. A task writes under a name of its own attempt,
@@ -226,21 +229,66 @@ class Lookup:
         return [parsed(read_range(c["folder"], c["file"], c["offset"], c["length"])) for c in self.captures(url)]
 
 
-def read_archives(directory: DataFrame, id_type: str) -> DataFrame:
-    """(id, payload_bytes, payload_digest, record_type, refers_to, payload) of every capture the index lists."""
+def keys_of(urls: DataFrame, url_col: str) -> DataFrame:
+    """(key) for each distinct url."""
 
-    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([url_key(u) for u in b.column(0).to_pylist()], pa.string())], names=["key"])
+
+    return urls.select(F.col(f"`{url_col}`").cast("string").alias("url")).distinct().mapInArrow(run, "key string").distinct()
+
+
+SPOTS = "id string, folder string, file string, offset long, length long"
+
+
+def look_up(directory: DataFrame, keys: DataFrame) -> DataFrame:
+    """(id, folder, file, offset, length) of the captures of ``keys(key)``; keys that nothing was captured of give none.
+
+    Every block is read once, for all the keys that are looked up in it.
+    """
+    spans = directory.groupBy("folder", "file").agg(F.min("first_key").alias("low"), F.max("last_key").alias("high"))
+    files = sorted((r["low"], r["high"], r["folder"], r["file"]) for r in spans.collect())  # as many as tasks that wrote the index
+    shared = directory.sparkSession.sparkContext.broadcast(files)
+
+    def to_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lows, highs = [f[0] for f in shared.value], [f[1] for f in shared.value]
+        for b in batches:
+            out = [(shared.value[n][3], k) for k in b.column(0).to_pylist() for n in range(bisect.bisect_left(highs, k), bisect.bisect_right(lows, k))]
+            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], pa.string()) for j in (0, 1)], names=["file", "key"])
+
+    def to_blocks(blocks: pa.Table, asked: pa.Table) -> pa.Table:
+        rows = sorted(blocks.to_pylist(), key=lambda r: (r["first_key"], r["last_key"]))
+        lows, highs, wanted = [r["first_key"] for r in rows], [r["last_key"] for r in rows], {}
+        for k in asked.column("key").to_pylist():
+            for n in range(bisect.bisect_left(highs, k), bisect.bisect_right(lows, k)):
+                wanted.setdefault(n, []).append(k)
+        hit = [rows[n] for n in wanted]
+        columns = {c: pa.array([r[c] for r in hit], t) for c, t in (("folder", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()))}
+        return pa.table(columns | {"keys": pa.array(list(wanted.values()), pa.list_(pa.string()))})
+
+    def to_captures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for d in b.to_pylist():
-                lines = [x for _, x in block_lines(d["folder"], d["file"], d["offset"], d["length"])]
-                cols = [pa.array([x.get(c) for x in lines], t) for c, t in (("id", pa.string()), ("folder", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()))]
+                lines = block_lines(d["folder"], d["file"], d["offset"], d["length"])
+                own = [x[0] for x in lines]
+                found = [x for k in d["keys"] for _, x in lines[bisect.bisect_left(own, k) : bisect.bisect_right(own, k)]]
+                cols = [pa.array([x.get(c) for x in found], t) for c, t in (("id", pa.string()), ("folder", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()))]
                 yield pa.RecordBatch.from_arrays(cols, names=["id", "folder", "file", "offset", "length"])
 
-    spots = directory.select("folder", "file", "offset", "length").mapInArrow(expand, "id string, folder string, file string, offset long, length long")
+    asked = keys.select("key").mapInArrow(to_files, "file string, key string")
+    small = directory.select("folder", "file", "offset", "length", "first_key", "last_key")
+    blocks = small.groupBy("file").cogroup(asked.groupBy("file")).applyInArrow(to_blocks, "folder string, file string, offset long, length long, keys array<string>")
+    return blocks.mapInArrow(to_captures, SPOTS)
+
+
+def read_records(captures: DataFrame, id_type: str) -> DataFrame:
+    """(id, payload_bytes, payload_digest, record_type, refers_to, payload) of ``look_up``'s captures."""
+    spots = materialize(captures, "found-captures")  # small: no payloads
+    total = spots.agg(F.sum("length").alias("n")).first()["n"] or 0
     # Ranges of one archive are read together and in order. The number of tasks follows the archives' bytes: the rows
     # dealt here are small, and would be coalesced into few tasks if it were left open.
-    total = directory.agg(F.sum("record_bytes").alias("n")).first()["n"] or 0
-    tasks = max(directory.sparkSession.sparkContext.defaultParallelism, 2 * (total // READ_BYTES + 1))
+    tasks = max(captures.sparkSession.sparkContext.defaultParallelism, 2 * (total // READ_BYTES + 1))
     spots = spots.withColumn("part", F.floor(F.col("offset") / (READ_BYTES // 8))).repartition(tasks, "file", "part").sortWithinPartitions("file", "offset")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +327,7 @@ def read_archives(directory: DataFrame, id_type: str) -> DataFrame:
 
 
 def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Write archives and index; (block directory, records read back through it).
+    """Write archives and index; (block directory, records of the pages' urls looked up in it).
 
     Null html is an empty payload, a null url an empty one; null ids keep their rows and lead a payload only where all
     its rows have null ids. Of rows that repeat id and payload one is the response and the others revisit its id.
@@ -287,7 +335,7 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
     captures = write_archives(pages, id_col, url_col, html_col, least_bytes)
     directory = write_index(captures)
-    return directory, read_archives(directory, pages.schema[id_col].dataType.simpleString())
+    return directory, read_records(look_up(directory, keys_of(pages, url_col)), pages.schema[id_col].dataType.simpleString())
 
 
 def op5_warc(spark, sf_dir: str) -> DataFrame:

@@ -88,6 +88,25 @@ def test_lookup_by_url_and_sparse_directory(spark, sf):
     assert look.captures("http://nowhere.example/none") == []
 
 
+def test_looking_up_a_table_of_urls(spark):
+    """One url has most captures, over many blocks and files; some urls were never captured."""
+    rows = [(k, "http://hot.com/x" if k % 3 else f"http://h{k % 50}.org/{k}", f"<p>{k % 40}</p>") for k in range(900)]
+    table = spark.createDataFrame(rows, PAGES)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several index files of few rows
+    try:
+        directory = warc.write_index(warc.write_archives(table.repartition(5)), block=10)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert directory.select("file").distinct().count() > 1
+    asked = ["http://hot.com/x", "http://HOT.com/x#f", "http://h0.org/0", "http://h1.org/1", "http://h3.org/3", "http://zz.zz/", None, "http://h9.org/9999"]
+    keys = warc.keys_of(spark.createDataFrame([(u,) for u in asked], "url string"), "url")
+    got = Counter(int(r["id"]) for r in warc.look_up(directory, keys).collect())
+    wanted = {warc.url_key(u) for u in asked}
+    assert got == Counter(i for i, u, _ in rows if warc.url_key(u) in wanted) and len(got) > 600
+    records = warc.read_records(warc.look_up(directory, keys), "bigint")
+    assert Counter(r["id"] for r in records.collect()) == got
+
+
 def test_archives_are_plain_warc_members(spark):
     captures = warc.write_archives(pages(spark)).collect()
     name = captures[0]["file"]
