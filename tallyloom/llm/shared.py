@@ -67,36 +67,46 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+#: Links of one node that may meet in one task, and nodes of more links (each with one number) that may be broadcast.
+HUB, HUBS = 1_000_000, 100_000
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of ``edges(a, b)``: label = smallest node reachable.
 
-    Alternating large-star and small-star rounds (Kiveris et al. 2014). Each
-    round is a partial aggregate and an equi-join, written to the shared folder,
-    so neither the links nor the components ever meet in one place. Self loops
-    keep a node listed. An empty input gives an empty result.
+    Alternating large-star and small-star rounds (Kiveris et al. 2014) until nothing changes; that is proven to end. Each
+    round is a partial aggregate and an equi-join, written to the shared folder, so neither the links nor the
+    components ever meet in one place. The stars' centres get more and more links; a node of more than ``HUB`` has its
+    minimum broadcast to them instead of meeting them in one task, and the bar rises so that such nodes are
+    ``HUBS`` at most. Self loops keep a node listed. An empty input gives an empty result.
     """
 
-    def minima(pairs: DataFrame) -> DataFrame:
-        low = pairs.groupBy("a").agg(F.min("b").alias("low"))
-        return pairs.join(low.select("a", F.least("a", "low").alias("low")), "a")
+    def minima(pairs: DataFrame, n: int) -> DataFrame:
+        low = pairs.groupBy("a").agg(F.least("a", F.min("b")).alias("low"), F.count(F.lit(1)).alias("n"))
+        if n <= HUB:
+            return pairs.join(low.drop("n"), "a")
+        bar = max(HUB, n // HUBS)  # n pairs have n / bar such nodes at most
+        known = pairs.join(F.broadcast(low.filter(F.col("n") > bar).drop("n")), "a", "left")
+        return known.filter("low is not null").unionByName(known.filter("low is null").drop("low").join(low.filter(F.col("n") <= bar).drop("n"), "a"))
+
+    def written(links: DataFrame) -> tuple[DataFrame, tuple]:
+        out = materialize(links, "links")
+        return out, tuple(out.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    now = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now = materialize(now, "links")
-    seen = None
-    for _ in range(max_rounds):
+    now, seen = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = minima(both).filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        large = minima(both, 2 * seen[0]).filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         large = large.filter("a <> b").distinct()
-        small = minima(large)
+        if 2 * seen[0] > HUB:  # read three times
+            large = materialize(large, "large-stars")
+        small = minima(large, 2 * seen[0])
         small = small.select("b", "low").union(small.select("a", "low")).toDF("a", "b").filter("a <> b").distinct()
-        now = materialize(small, "links")
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        now, mark = written(small)
         if mark == seen:
             break
         seen = mark
-    else:
-        raise RuntimeError("components did not converge")
     return nodes.join(now.select(F.col("a").alias("node"), F.col("b").alias("label")), "node", "left").select(
         "node", F.coalesce("label", "node").alias("label")
     )

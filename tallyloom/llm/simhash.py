@@ -7,7 +7,8 @@
    blocks. One key per choice puts them in a common shard, whatever they are.
 3. A shard is one BK-tree: children hang on the integer distance to their
    parent, and a search follows only edges within the radius of that distance.
-   Shards above ``shard_cap`` are split; every pair of pieces meets in a task.
+   Shards above ``shard_cap`` are split into pieces that share some pivots; only
+   what those leave apart from a shard's largest component meets every piece.
 4. A tree emits the spanning links of what it finds, not all pairs.
 5. Large-star/small-star rounds join the links to components.
 """
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.shared import boxed, connected_components, materialize, text_key
 
-SALTS = 16
+SALTS, PIVOTS = 16, 16
 
 
 def fingerprint(text: str | None, size: int = 4, seed: int = 42) -> int:
@@ -153,23 +154,10 @@ def block_keys(fp: Column, m: int, radius: int) -> Column:
     return F.array(*(F.xxhash64(F.lit(k), fp.bitwiseAND(F.lit(x).cast("long"))) for k, x in enumerate(masks)))
 
 
-def fingerprint_links(values: DataFrame, radius: int = 4, shard_cap: int = 4096, blocks: int | None = None) -> DataFrame:
-    """Links (a, b) between the distinct longs of ``values(fp)`` that span their components at ``radius``."""
-    m = blocks or blocks_for(values.count(), radius)
-    keyed = values.select("fp", F.explode(block_keys(F.col("fp"), m, radius)).alias("shard"))
-    hot = materialize(keyed.groupBy("shard").count().filter(F.col("count") > shard_cap), "hot-shards")
-    keyed = keyed.select("shard", "fp", F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(0).alias("side"))
-    if n_hot := hot.count():
-        small = F.broadcast(hot) if n_hot <= 100_000 else hot
-        pieces = F.ceil(F.col("count") / shard_cap).cast("int")
-        every = keyed.select("shard", "fp").join(small, "shard", "left")
-        mine = F.pmod(F.xxhash64("fp"), pieces).cast("int")
-        every = every.withColumn("n", F.coalesce(pieces, F.lit(1))).withColumn("mine", F.coalesce(mine, F.lit(0)))
-        every = every.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        keyed = every.select(
-            "shard", "fp", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), F.when(F.col("mine") > F.col("other"), 1).otherwise(0).alias("side")
-        )
-    dealt = keyed.repartition("shard", "p", "q").sortWithinPartitions("shard", "p", "q")
+def links_within(pieces: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) that span the components of each piece of ``pieces(shard, fp, p, q, side)``; where ``p`` is not ``q``, those
+    between its two sides.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -210,9 +198,50 @@ def fingerprint_links(values: DataFrame, radius: int = 4, shard_cap: int = 4096,
         if held is not None:
             yield from linked(held)
 
+    dealt = pieces.repartition("shard", "p", "q").sortWithinPartitions("shard", "p", "q")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def fingerprint_links(values: DataFrame, radius: int = 4, shard_cap: int = 4096, blocks: int | None = None) -> DataFrame:
+    """Links (a, b) between the distinct longs of ``values(fp)`` that span their components at ``radius``.
+
+    Shards above ``shard_cap`` are cut into pieces. Each piece also gets the shard's ``PIVOTS``, so that a cluster that
+    lies around them is one component over all pieces at once. Of a shard that is still several components, only the
+    values outside its largest one are compared with the others, piece by piece.
+    """
+    m = blocks or blocks_for(values.count(), radius)
+    keyed = values.select("fp", F.explode(block_keys(F.col("fp"), m, radius)).alias("shard"))
+    hot = keyed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > shard_cap)
+    hot = materialize(hot.select("shard", F.ceil(F.col("n") / shard_cap).cast("int").alias("pieces")), "hot-shards")
+    n_hot = hot.count()
+    alone = lambda p: (p.alias("p"), p.alias("q"), F.lit(0).alias("side"))
+    if not n_hot:
+        return links_within(keyed.select("shard", "fp", *alone(F.lit(0))), radius)
+    marked = keyed.join(F.broadcast(hot) if n_hot <= 100_000 else hot, "shard", "left")
+    piece = F.coalesce(F.pmod(F.xxhash64("fp"), F.col("pieces")), F.lit(0)).cast("int")
+    picked = [F.min_by("fp", F.xxhash64("fp", F.lit(k))).alias(f"v{k}") for k in range(PIVOTS)]
+    pivots = marked.filter("pieces is not null").groupBy("shard").agg(F.first("pieces").alias("pieces"), *picked)
+    pivots = pivots.select("shard", "pieces", F.explode(F.array_distinct(F.array(*(f"v{k}" for k in range(PIVOTS))))).alias("fp"))
+    pivots = pivots.select("shard", "fp", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("k"))
+    first = marked.select("shard", "fp", *alone(piece)).union(pivots.select("shard", "fp", *alone(F.col("k")))).distinct()
+    links = materialize(links_within(first, radius), "shard-links")
+    labels = materialize(connected_components(links), "shard-labels").withColumnRenamed("node", "fp")
+    members = marked.filter("pieces is not null").select("shard", "fp", "pieces", piece.alias("mine")).join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    members = materialize(members, "hot-members")
+    sizes = members.groupBy("shard", "label").agg(F.count(F.lit(1)).alias("n"))
+    still = sizes.groupBy("shard").agg(F.sum("n").alias("all"), F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("main")).filter("all > most")
+    still = materialize(still.select("shard", "main", F.ceil((F.col("all") - F.col("most")) / shard_cap).cast("int").alias("loose")), "open-shards")
+    n_open = still.count()
+    if not n_open:
+        return links
+    loose = members.join(F.broadcast(still) if n_open <= 100_000 else still, "shard").withColumn("own", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("loose")).cast("int"))
+    # The loose ones of one part meet all values of one piece: part times piece of them, never all with all.
+    asks = loose.filter("label <> main").select("shard", "fp", F.col("own").alias("p"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("k"), F.lit(1).alias("side"))
+    held = loose.select("shard", "fp", F.explode(F.sequence(F.lit(0), F.col("loose") - 1)).alias("p"), F.col("mine").alias("k"), F.lit(0).alias("side"))
+    across = asks.union(held.select("shard", "fp", "p", "k", "side")).select("shard", "fp", "p", (-1 - F.col("k")).alias("q"), "side")
+    return links.union(links_within(across, radius)).distinct()
+
+
 def components(docs: DataFrame, id_col: str, text_col: str, size: int = 4, radius: int = 4, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Rows (id, key, fp), and (fp, n, first, label) of their distinct fingerprints.
 

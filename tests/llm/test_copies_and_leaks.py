@@ -77,6 +77,29 @@ def test_links_join_the_same_components_as_all_pairs(spark, cap, blocks, radius)
     assert {v: mine.top(v) for v in signed} == {v: brute.top(v) for v in signed}
 
 
+def test_a_dense_shard_is_not_compared_piece_by_piece(spark, monkeypatch):
+    """400 values around one centre and a few that reach it over others only: what meets every piece is those few."""
+    rng = random.Random(11)
+    centre = rng.getrandbits(64)
+    near = {centre ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(1, 4))) for _ in range(400)}
+    far = {centre ^ (0x7F << 3), centre ^ (0x7F << 3) ^ (0xF << 20), centre ^ (0xFFF << 40)}
+    values = sorted(near | far)
+    signed = np.array(values, np.uint64).view(np.int64).tolist()
+    asked = []
+    within = simhash.links_within
+    monkeypatch.setattr(simhash, "links_within", lambda pieces, radius: (asked.append(pieces.count()), within(pieces, radius))[1])
+    links = simhash.fingerprint_links(spark.createDataFrame([(v,) for v in signed], "fp long"), 4, 20).collect()
+    mine, brute = Sets(), Sets()
+    for r in links:
+        mine.join(r["a"], r["b"])
+    for k, a in enumerate(signed):
+        for b in signed[:k]:
+            if ((a ^ b) & (1 << 64) - 1).bit_count() <= 4:
+                brute.join(a, b)
+    assert {v: mine.top(v) for v in signed} == {v: brute.top(v) for v in signed}
+    assert sum(asked) < 6 * asked[0]
+
+
 def test_bk_tree_finds_what_is_within():
     rng = random.Random(5)
     values = list({rng.getrandbits(10) for _ in range(300)})
@@ -95,6 +118,15 @@ def test_components_over_chains_and_stars(spark):
     assert shared.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("hub", [1_000_000, 12])
+def test_one_component_of_a_third_of_all_nodes(spark, monkeypatch, hub):
+    monkeypatch.setattr(shared, "HUB", hub)
+    rng = random.Random(2)
+    edges = [(k, rng.randrange(k)) for k in range(1, 300)] + [(1000, 1000 + k) for k in range(1, 200)] + [(2000 + 2 * k, 2001 + 2 * k) for k in range(200)]
+    got = {r["node"]: r["label"] for r in shared.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: 0 for k in range(300)} | {k: 1000 for k in range(1000, 1200)} | {2000 + k: 2000 + k - k % 2 for k in range(400)}
+
+
 def test_one_row_of_each_component_stays(spark, sf):
     docs = docs_at(spark, sf)
     kept = simhash.keep_one(docs)
