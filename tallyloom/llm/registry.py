@@ -19,6 +19,8 @@ QUERIES = {
 
 SQL: dict[str, str] = {
     "op1_lm_scoring": backoff.OP1_SQL,
+    "op2_substring_dedup": substrings.OP2_SQL,
+    "op5_warc": warc.OP5_SQL,
     "op6_benchmark_decontamination": decontaminate.OP6_SQL,
     "op7_url_filters": urls.OP7_SQL,
 }

@@ -495,3 +495,17 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """What every document keeps when passages of 35 words that occur elsewhere go."""
     return without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
+
+
+OP2_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), windows AS (
+  SELECT doc_id, unnest(list_transform(range(1, len(w) - 33), lambda i: {'k': i, 's': array_to_string(w[i:i + 34], ' ')})) AS x FROM texts WHERE len(w) >= 35
+), twice AS (SELECT x.s AS s FROM windows GROUP BY x.s HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, x.k + o.o AS k FROM windows JOIN twice ON x.s = twice.s CROSS JOIN range(35) AS o(o)),
+words AS (SELECT doc_id, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS k FROM texts),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(words.w, ' ' ORDER BY k) AS t FROM words ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+SELECT texts.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (doc_id)
+"""

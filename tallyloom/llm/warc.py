@@ -342,3 +342,16 @@ def op5_warc(spark, sf_dir: str) -> DataFrame:
     """Every page's record as the archives hold it."""
     _, records = archive(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return records.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: Base32 of 160 bits: every five hex digits are four letters.
+OP5_SQL = r"""
+WITH payloads AS (SELECT page_id, encode(coalesce(html, '')) AS p FROM pages),
+hashed AS (SELECT page_id, octet_length(p) AS payload_bytes, upper(sha1(p)) AS hex, max(page_id) OVER (PARTITION BY p) AS lead FROM payloads),
+spelled AS (
+  SELECT *, array_to_string(list_transform(range(0, 8), lambda g: array_to_string(list_transform(range(0, 4), lambda k:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(hex, 5 * g + 1, 5) AS BIGINT) >> (15 - 5 * k)) & 31 AS INT) + 1, 1)), '')), '') AS digest FROM hashed
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = lead THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = lead THEN NULL ELSE lead END AS refers_to
+FROM spelled
+"""

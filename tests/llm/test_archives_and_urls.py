@@ -63,6 +63,7 @@ def test_records_of_the_corpus_equal_brute_force(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").collect()]
     got = warc.op5_warc(spark, sf)
     assert bag(got, "page_id", *COLS[1:]) == brute_records(rows)
+    same_as_sql(got, duck(sf), warc.OP5_SQL)
 
 
 def test_no_pages_no_records(spark):

@@ -99,7 +99,9 @@ def test_kept_text_is_returned(spark):
 
 def test_removal_over_the_corpus_equals_brute_force(spark, sf):
     rows = [(r["doc_id"], r["text"]) for r in docs_at(spark, sf).collect()]
-    assert bag(substrings.op2_substring_dedup(spark, sf), *RESULT) == kept(rows)
+    got = substrings.op2_substring_dedup(spark, sf)
+    assert bag(got, *RESULT) == kept(rows)
+    same_as_sql(got, duck(sf), substrings.OP2_SQL)
 
 
 @pytest.mark.parametrize(("window", "chunk"), [(35, 400), (9, 200), (5, 1_000_000), (1, 300)])
