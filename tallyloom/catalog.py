@@ -180,11 +180,21 @@ def two_group_projection(spark, d):
     return parts[0].unionByName(parts[1])
 
 
-@query()
+def batches_sql(limit: int) -> str:
+    """The greedy filling as one step for each question: the batch it is in, and what that holds with it."""
+    steps = [f"s0 AS (SELECT doc_id, {STATE_SQL} AS s, -1 AS k, 0 AS used FROM documents)"]
+    for n, q in enumerate(GROUP.questions):
+        fresh = f"k < 0 OR used + {q.schema_tokens} > {limit}"
+        steps.append(f"s{n + 1} AS (SELECT doc_id, s, CASE WHEN {fresh} THEN k + 1 ELSE k END AS k, CASE WHEN {fresh} THEN s ELSE used END + {q.schema_tokens} AS used FROM s{n})")
+    n, fits = len(GROUP.questions), f"s + {max(q.schema_tokens for q in GROUP.questions)} <= {limit}"
+    return f"WITH {', '.join(steps)} SELECT doc_id, CAST(CASE WHEN {fits} THEN {n} ELSE 0 END AS INT) AS n_questions, CAST(CASE WHEN {fits} THEN k + 1 ELSE 0 END AS INT) AS n_batches FROM s{n}"
+
+
+@query(batches_sql(int(400 * 0.85)))
 def split_batches(spark, d):
-    """Batches of every document's questions under a limit of 400 tokens; null where the state fits none."""
+    """Batches of every document's questions under a limit of 400 tokens; none where the state fits no call."""
     docs = docs_of(spark, d)
-    return docs.select("doc_id", C.context_batches(GROUP, C.state_tokens(("text",)), 400).alias("batches")).select("doc_id", F.size("batches").alias("n_questions"), (F.array_max("batches") + 1).alias("n_batches"))
+    return docs.select("doc_id", C.context_batches(GROUP, C.state_tokens(("text",)), 400).alias("batches")).select("doc_id", F.coalesce(F.size("batches"), F.lit(0)).alias("n_questions"), F.coalesce(F.array_max("batches") + 1, F.lit(0)).alias("n_batches"))
 
 
 @query("SELECT * FROM (VALUES ('added', 'd'), ('removed', 'a'), ('changed', 'b')) t(change, question_id)")
@@ -267,24 +277,24 @@ def chunk_agg_score(spark, d):
 # --- runs --------------------------------------------------------------------------------------------------------
 
 
-def _cache(spark, d, keep: str):
+def _looked_up(spark, d, keep: str):
+    """All cells by ``hit``, where the cache has those that ``keep`` chooses."""
     c = cells(spark, d)
     key = runs.cache_key(F.col("doc_id"), F.col("question_id"), F.col("question_body_hash"), F.col("model"))
-    wanted = c.withColumn("cache_key", key)
-    return runs.hits_and_misses(wanted, wanted.filter(keep).select("cache_key"))
+    wanted = c.select("doc_id", "question_id", key.alias("cache_key"))
+    return runs.with_hits(wanted, wanted.filter(keep))
 
 
 @query("WITH q(question_id) AS (VALUES ('usable'), ('harmful'), ('language'), ('length_band')) SELECT question_id, count(*) FILTER (doc_id % 3 = 0) AS hits, count(*) FILTER (doc_id % 3 <> 0) AS misses FROM documents, q GROUP BY question_id")
 def cache_hits_misses(spark, d):
-    hits, misses = _cache(spark, d, "cast(doc_id as bigint) % 3 = 0")
-    both = hits.select("question_id", F.lit(1).alias("h")).unionByName(misses.select("question_id", F.lit(0).alias("h")))
-    return both.groupBy("question_id").agg(F.sum("h").cast("bigint").alias("hits"), F.sum(1 - F.col("h")).cast("bigint").alias("misses"))
+    got = _looked_up(spark, d, "cast(doc_id as bigint) % 3 = 0")
+    return got.groupBy("question_id").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'length_band' AS question_id FROM documents")
 def add_question_delta(spark, d):
     """What a run asks after a question is added to a finished one: that question alone."""
-    return _cache(spark, d, "question_id <> 'length_band'")[1].select("doc_id", "question_id")
+    return _looked_up(spark, d, "question_id <> 'length_band'").filter("not hit").select("doc_id", "question_id")
 
 
 BUDGET_USD = 0.002
@@ -298,7 +308,7 @@ CALLS_SQL = f"SELECT doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) + {GROUP.s
 def budget_admission(spark, d):
     text = C.text_tokens(F.col("text"))
     calls = docs_of(spark, d).select(F.col("doc_id").alias("row_index"), (text + GROUP.schema_tokens).cast("bigint").alias("estimated"), (text + 50).cast("bigint").alias("actual"))
-    return runs.admitted(calls, BUDGET_USD, parts=16).select(F.col("row_index").alias("doc_id"), F.col("spent_before").cast("bigint").alias("spent_before"))
+    return runs.admitted(calls, BUDGET_USD).select(F.col("row_index").alias("doc_id"), F.col("spent_before").cast("bigint").alias("spent_before"))
 
 
 @query(f"SELECT round(CAST(sum(actual) AS DOUBLE) / sum(estimated), 9) AS ratio FROM ({CALLS_SQL})")

@@ -39,24 +39,23 @@ def seeded_rank(seed: int, *keys: Column) -> Column:
 def stratified_sample(cells: DataFrame, n: int, strata: int = 5, seed: int = 0) -> DataFrame:
     """``n`` cells, equal per stratum, with ``stratum_weight`` = pool / taken.
 
-    The strata's sizes (a few dozen rows) reach the driver; rows are ranked inside their stratum by a seeded digest.
-    A rank over a filtered prefix: each stratum first keeps the digests below a bound that leaves enough, so a stratum
-    of a third of all rows isn't sorted in one task.
+    The strata's sizes (a few dozen rows) reach the driver; rows are ranked inside their stratum by a seeded digest. The
+    same pass counts each stratum's digests below 1, 1/2, 1/4 .. of their range, so only rows below the least such bound
+    that leaves enough are ranked: a stratum of a third of all rows isn't sorted in one task.
     """
-    rows = with_strata(cells, strata)
-    pools = {r["stratum"]: r["count"] for r in rows.groupBy("stratum").count().collect()}
+    rows = with_strata(cells, strata).withColumn("_rank", seeded_rank(seed, F.col("doc_id")))
+    lead, halvings = F.conv(F.substring("_rank", 1, 8), 16, 10).cast("bigint"), range(0, 32)
+    sized = rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("pool"), *(F.count_if(lead < (1 << 32 - k)).alias(f"b{k}") for k in halvings)).collect()
+    pools = {r["stratum"]: r["pool"] for r in sized}
     taken = allocate(pools, n)
     if not pools:
-        return rows.withColumn("stratum_weight", F.lit(None).cast("double"))
-    plan = cells.sparkSession.createDataFrame([(k, pools[k], taken[k], min(1.0, 4.0 * (taken[k] + 8) / pools[k])) for k in pools], "stratum string, pool bigint, taken bigint, share double")
-    ranked = rows.join(F.broadcast(plan), "stratum").withColumn("_rank", seeded_rank(seed, F.col("doc_id")))
-    near = ranked.filter(F.conv(F.substring("_rank", 1, 8), 16, 10).cast("bigint") <= F.col("share") * F.lit(float(1 << 32)))
-    counts = {r["stratum"]: r["count"] for r in near.groupBy("stratum").count().collect()}
-    if any(counts.get(k, 0) < taken[k] for k in taken):
-        near = ranked  # an unlucky digest: rank everything
+        return rows.drop("_rank").withColumn("stratum_weight", F.lit(None).cast("double"))
+    bounds = {r["stratum"]: min(1 << 32 - k for k in halvings if r[f"b{k}"] >= taken[r["stratum"]]) for r in sized}
+    plan = cells.sparkSession.createDataFrame([(k, pools[k], taken[k], bounds[k]) for k in pools], "stratum string, pool bigint, taken bigint, bound bigint")
+    near = rows.join(F.broadcast(plan), "stratum").filter(lead < F.col("bound"))
     w = Window.partitionBy("stratum").orderBy("_rank", "doc_id")
     out = near.withColumn("_n", F.row_number().over(w)).filter("_n <= taken")
-    return out.withColumn("stratum_weight", F.col("pool") / F.col("taken")).drop("_n", "_rank", "pool", "taken", "share")
+    return out.withColumn("stratum_weight", F.col("pool") / F.col("taken")).drop("_n", "_rank", "pool", "taken", "bound")
 
 
 def random_rows(df: DataFrame, k: int, seed: int = 0, key: str = "doc_id") -> DataFrame:
