@@ -177,7 +177,7 @@ class Drain:
             signal.signal(signal.SIGINT, self.before)
 
 
-def open_run(root: str, qs: QuestionSet, source: str, id_field: str | None, resume: str | None) -> str:
+def open_run(root: str, qs: QuestionSet, source: str, id_field: str | None, resume: str | None, run_id: str | None = None) -> str:
     """Folder of a new run, or of the one to resume, if it asks the same questions."""
     now = {q.id: q.body_hash for q in qs.questions}
     if resume:
@@ -188,12 +188,19 @@ def open_run(root: str, qs: QuestionSet, source: str, id_field: str | None, resu
             d = diff(manifest["questions"], now)
             raise ConfigError([f"the question set changed: added {d.added}, removed {d.removed}, changed {d.changed}"])
         return f"{root}/{resume}"
-    run_id = uuid.uuid4().hex[:12]
+    run_id = run_id or uuid.uuid4().hex[:12]
     groups = {g.projection_id: list(g.fields) for g in call_groups(qs)}
     files.write_json(f"{root}/{run_id}/manifest.json", {"run_id": run_id, "questionset_hash": qs.hash, "questions": now, "input_path": source, "id_field": id_field, "projection_groups": groups, "created_at": datetime.datetime.now(datetime.UTC).isoformat()})
     return f"{root}/{run_id}"
 
 
+def charged_tokens(spark, root: str, run_id: str | None = None) -> int:
+    """What the calls of a run, or of all runs of a root, were charged."""
+    own = _stored(spark, f"{root}/cache", CACHE)
+    own = own if run_id is None else own.filter(F.col("run") == run_id)
+    return own.dropDuplicates(["run", "wave", "call_id"]).agg(F.sum("input_tokens")).first()[0] or 0
+
+
 def _stored(spark, path: str, kind: T.StructType) -> DataFrame:
     return spark.read.schema(kind).parquet(path) if files.has_rows(path) else spark.createDataFrame([], kind)
 
@@ -285,7 +292,7 @@ def _cells(rows: DataFrame, answers: DataFrame, broken: DataFrame, run_id: str,
 
 def run(
     spark, source: str, qs: QuestionSet, answerer: ColumnAnswerer | BatchAnswerer, root: str, budget_usd: float = 1.0, limit: int | None = None, id_field: str | None = None, resume: str | None = None,
-    context_limit: int = CONTEXT_LIMIT, margin: float = MARGIN, wave_cells: int = WAVE_CELLS, on_progress: Callable[[Progress], None] | None = None,
+    context_limit: int = CONTEXT_LIMIT, margin: float = MARGIN, wave_cells: int = WAVE_CELLS, on_progress: Callable[[Progress], None] | None = None, run_id: str | None = None,
 ) -> RunResult:
     """Answer every document's questions once, as far as the budget goes, and commit their cells wave by wave.
 
@@ -299,7 +306,7 @@ def run(
     df = corpus.read_source(spark, source)
     groups = call_groups(qs)
     require_fields(groups, df.columns)
-    run_dir = open_run(root, qs, source, id_field, resume)
+    run_dir = open_run(root, qs, source, id_field, resume, run_id)
     run_id = run_dir.rpartition("/")[2]
     docs, bad = corpus.normalize(df, id_field)
     if limit is not None:
@@ -311,7 +318,7 @@ def run(
     n_docs = docs.count()
     already = done.join(docs.select("doc_id"), "doc_id", "left_semi").count()
     cache = _stored(spark, cache_path, CACHE)
-    charged = cache.filter(F.col("run") == run_id).dropDuplicates(["wave", "call_id"]).agg(F.sum("input_tokens")).first()[0] or 0
+    charged = charged_tokens(spark, root, run_id)
     budget, at_start = usd_to_micro_usd(budget_usd), charged
     plan = Plan(spark, remaining(remaining(docs, done), refused), groups, qs, answerer.model, cache, work, wave_cells, context_limit, margin)
     broken = plan.states.filter("error is not null").select("doc_id").distinct()

@@ -283,3 +283,24 @@ def test_an_id_in_two_batches_is_answered_once(spark, tmp_path):
     ingest.answer_stream(spark, src, df.schema, "id", QS, HashAnswerer(), out, ck, files_per_batch=1).awaitTermination()
     got = spark.read.parquet(out)
     assert got.count() == 15 and got.select("doc_id", "question_id").distinct().count() == 15
+
+
+def test_a_stream_of_runs_shares_cache_and_budget(spark, tmp_path):
+    src, root, ck, log = (str(tmp_path / x) for x in ("in", "root", "ck", "log"))
+    kind = "ticket_id string, body string"
+    for rows in ([("a", "ticket number 1"), ("b", "ticket number 2")], [("b", "ticket number 3"), ("c", "ticket number 1"), ("d", "ticket number 4")]):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(src)
+    schema = spark.read.parquet(src).schema
+
+    def go(budget):
+        ingest.run_stream(spark, src, schema, "ticket_id", QS, BatchAnswerer(logged(log, tokens=100)), root, ck, budget, files_per_batch=1).awaitTermination()
+
+    with pytest.raises(Exception, match="before the budget was spent"):
+        go(0.000005)
+    go(1.0)
+    spark.createDataFrame([("a", "ticket number 9"), ("e", "ticket number 2")], kind).coalesce(1).write.mode("append").parquet(src)
+    go(1.0)
+    cells = [r for n in files.names(root) if n.startswith("batch-") for r in corpus.read_cells(spark, f"{root}/{n}/cells").select("doc_id", "question_id").collect()]
+    assert len(cells) == len(set(cells)) == 15 and {r["doc_id"] for r in cells} == {"a", "b", "c", "d", "e"}
+    assert set(paid(log)) <= {"1", "2", "3", "4"} and set(paid(log).values()) == {1} and len(paid(log)) == 3
+    assert runs.charged_tokens(spark, root) == 300
