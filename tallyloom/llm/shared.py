@@ -57,6 +57,14 @@ def materialize(df: DataFrame, label: str, compression: str = "zstd") -> DataFra
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete what ``materialize`` wrote. Only for tables that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/tallyloom-" in f}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def boxed(docs: DataFrame) -> DataFrame:
     """The rows as one struct column ``_row``, so that no column of theirs meets an operator's; ``select("_row.*")`` undoes it."""
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
@@ -96,14 +104,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     now, seen = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
+        before, stars = now, None
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = minima(both, 2 * seen[0]).filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         large = large.filter("a <> b").distinct()
         if 2 * seen[0] > HUB:  # read three times
-            large = materialize(large, "large-stars")
+            stars = large = materialize(large, "large-stars")
         small = minima(large, 2 * seen[0])
         small = small.select("b", "low").union(small.select("a", "low")).toDF("a", "b").filter("a <> b").distinct()
         now, mark = written(small)
+        for done in (before, stars):  # what comes now reads the new links alone
+            if done is not None:
+                discard(done)
         if mark == seen:
             break
         seen = mark
