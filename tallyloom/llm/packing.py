@@ -24,6 +24,9 @@ from tallyloom.llm.shared import materialize
 #: Entries of a worker's memo of encoded chunks, and characters of the longest of them: 200 MB at most with what an entry
 #: costs besides. Results do not depend on it.
 MEMO, MEMO_CHARS = 600_000, 48
+#: Longest chunk with white space inside that the fast library gets: its split rule steps back through a run of white space,
+#: and a run of a million overflows its stack, which ends the task.
+FAST_CHARS = 100_000
 
 
 class Encoder:
@@ -31,9 +34,10 @@ class Encoder:
 
     The split rule of this vocabulary never joins what a space separates, so a
     text of chunks with single spaces between them encodes chunk by chunk, and
-    frequent chunks come from a memo. Chunks outside Latin script, texts with
-    other white space next to a space, and texts with a special token's string
-    go to the tokenizer library itself. The same merges run in either library.
+    frequent chunks come from a memo. Chunks outside Latin script, very long ones
+    with white space inside, texts with other white space next to a space, and
+    texts with a special token's string go to the tokenizer library itself. The
+    same merges run in either library.
     """
 
     def __init__(self, json_path: str, ranks_path: str, pattern: str) -> None:
@@ -54,11 +58,17 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return array("H", self.full.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def alone(self, text: str, key: str) -> bytes:
+        latin = key.isascii() or max(key) < "ɐ"
+        if not latin or (len(key) > FAST_CHARS and len(key.split(maxsplit=1)) > 1):
+            return self.whole(text)
+        return array("H", self.fast(text)).tobytes()
+
     def chunk(self, text: str, key: str) -> bytes | None:
         """None: not a chunk that stands alone."""
         if not key or key[0].isspace() or key[-1].isspace():
             return None
-        got = array("H", self.fast(text)).tobytes() if key.isascii() or max(key) < "ɐ" else self.whole(text)
+        got = self.alone(text, key)
         if len(key) <= MEMO_CHARS and len(self.memo) < MEMO:
             self.memo[key] = got
         return got
@@ -74,7 +84,7 @@ class Encoder:
             parts = [memo[k] if k in memo else self.chunk(" " + k, k) for k in rest]
             if not first or first[0].isspace() or first[-1].isspace():
                 return self.whole(text)
-            return (array("H", self.fast(first)).tobytes() if first.isascii() or max(first) < "ɐ" else self.whole(first)) + b"".join(parts)
+            return self.alone(first, first) + b"".join(parts)
         except TypeError:  # a None among the parts
             return self.whole(text)
 
