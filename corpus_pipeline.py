@@ -1,7 +1,8 @@
 """A training-data pipeline over ``documents``: five stages, each written as Parquet and read again.
 
 1. quality rules: documents that the vote model or the base rules reject go;
-2. near-dedup: one document of each component of texts at five-word Jaccard 0.8 or more stays (least id, then least text hash);
+2. near-dedup: candidates by BK-trees of five-word fingerprints at 4 bits, and by MinHash bands beyond those; one document of each
+   component of texts at five-word Jaccard 0.8 or more stays (least id, then least text hash);
 3. decontamination: documents that contain a benchmark item go;
 4. secret scans: reported spans are blanked in the texts; who owns a value is counted over ``documents``, copies included;
 5. packing: boundary records of the token windows.

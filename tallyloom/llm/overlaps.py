@@ -1,13 +1,18 @@
-"""Near-duplicates by Jaccard similarity of word shingles: MinHash bands, exact verification, components.
+"""Near-duplicates by SimHash and by Jaccard similarity of word shingles: BK-trees, MinHash bands, exact verification, components.
 
 1. Every text becomes the set of its distinct shingles (XXH64); equal sets are one node.
-2. ``BANDS`` keys of ``ROWS`` minima each: two sets of similarity s miss each
-   other in all bands with probability (1 - s^ROWS)^BANDS, 5e-8 at 0.8.
-3. The sets that share a key are compared exactly, within pieces of a bucket:
-   a set is compared with a component's members until one is similar enough.
-4. Buckets of several pieces that are still in several components after that
+2. Each set gets a 64-bit fingerprint. BK-trees by shard link the fingerprints
+   at ``RADIUS`` bits, star rounds join those links, and the sets of such a
+   component are a bucket.
+3. Similar sets differ in up to 14 bits and more, too many for block keys and
+   trees, so there are buckets for what lies beyond the radius: ``BANDS`` keys of
+   ``ROWS`` minima each. Two sets of similarity s miss each other in all bands
+   with probability (1 - s^ROWS)^BANDS, 5e-8 at 0.8.
+4. The sets of a bucket are compared exactly, within its pieces: a set is
+   compared with a component's members until one is similar enough.
+5. Buckets of several pieces that are still in several components after that
    have every pair of their pieces compared.
-5. Large-star/small-star rounds join the links to components.
+6. Large-star/small-star rounds join the links to components.
 """
 
 from __future__ import annotations
@@ -21,9 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.shared import connected_components, materialize, text_key
-from tallyloom.llm.simhash import SALTS, _hashes, kept_rows
+from tallyloom.llm.simhash import SALTS, _hashes, fingerprint_links, kept_rows, majority
 
-BANDS, ROWS = 32, 4
+RADIUS, BANDS, ROWS = 4, 32, 4
 #: Sets of a bucket that are compared in one piece; it changes where pairs meet, not which.
 PIECE = 256
 _DRAWN = np.random.default_rng(20).integers(0, 1 << 32, (2, BANDS * ROWS), np.uint32)
@@ -96,7 +101,7 @@ def spanning_links(nodes: list[int], labels: list[int], sides: list[int], sets:
 
 
 def set_rows(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(id, key, node, bands) for every row."""
+    """(id, key, node, fp, bands) for every row."""
     text = F.col(f"`{text_col}`").cast("string")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text_key(text).alias("key"), text.alias("text"))
 
@@ -104,9 +109,18 @@ def set_rows(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
         for b in batches:
             sets = [shingle_set(t, size) for t in b.column(2).to_pylist()]
             nodes, bands = pa.array([_node(s) for s in sets], pa.int64()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), nodes, bands], names=["id", "key", "node", "bands"])
+            fps = pa.array(np.array([majority(s) for s in sets], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), nodes, fps, bands], names=["id", "key", "node", "fp", "bands"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, key long, node long, bands array<long>")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, key long, node long, fp long, bands array<long>")
+
+
+def fingerprint_buckets(firsts: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(node, fp): the least fingerprint of each set's component at ``radius`` bits, from ``firsts(node, fp)``."""
+    links = materialize(fingerprint_links(firsts.select("fp").distinct(), radius), "fingerprint-links")
+    labels = connected_components(links).select(F.col("node").alias("fp"), "label", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = firsts.select("node", "fp", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("salt"))
+    return salted.join(labels, ["fp", "salt"], "left").select("node", F.coalesce("label", "fp").alias("fp"))
 
 
 def wanted_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -152,8 +166,9 @@ def components(docs: DataFrame, id_col: str, text_col: str, size: int = 5, thres
     """Rows (id, key, node), and (node, first, label) of their distinct shingle sets, as ``simhash.components``."""
     rows = materialize(set_rows(docs, id_col, text_col, size), "shingle-sets")
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key"))
-    firsts = materialize(rows.groupBy("node").agg(least.alias("first"), F.first("bands").alias("bands")), "distinct-sets")
-    keyed = firsts.select("node", F.posexplode("bands").alias("band", "value")).select("node", "band", F.xxhash64("band", "value").alias("shard"))
+    firsts = materialize(rows.groupBy("node").agg(least.alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "distinct-sets")
+    near = materialize(fingerprint_buckets(firsts), "fingerprint-buckets").select("node", F.lit(BANDS).alias("band"), F.col("fp").alias("value"))
+    keyed = firsts.select("node", F.posexplode("bands").alias("band", "value")).union(near).select("node", "band", F.xxhash64("band", "value").alias("shard"))
     found = keyed.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
     buckets = found.filter("n > 1").groupBy("n", "x", "y").agg(F.min("shard").alias("shard"))  # buckets of the same sets are one
     buckets = buckets.select("shard", F.ceil(F.col("n") / piece).cast("int").alias("pieces"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))

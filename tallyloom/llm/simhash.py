@@ -47,16 +47,20 @@ def _hashes(text: str | None, size: int, seed: int) -> list[int]:
     return [digest(joined[a:b], seed) for a, b in zip(starts[: 1 - size].tolist(), ends[size - 1 :].tolist(), strict=True)]
 
 
+def majority(h: np.ndarray) -> np.uint64:
+    """The bits that are set in over half of 64-bit hashes; none give zero."""
+    bits = np.zeros(64, np.int64)
+    for at in range(0, len(h), 8192):  # a very long text in steps
+        part = h[at : at + 8192].view(np.uint8).reshape(-1, 8)
+        bits += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * bits > len(h), bitorder="little").view(np.uint64)[0]
+
+
 def _fingerprints(texts: list[str | None], size: int, seed: int) -> np.ndarray:
     out = np.zeros(len(texts), np.uint64)
     for k, text in enumerate(texts):
         if got := _hashes(text, size, seed):
-            h = np.array(got, np.uint64)
-            bits = np.zeros(64, np.int64)
-            for at in range(0, len(h), 8192):  # a very long text in steps
-                part = h[at : at + 8192].view(np.uint8).reshape(-1, 8)
-                bits += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-            out[k] = np.packbits(2 * bits > len(h), bitorder="little").view(np.uint64)[0]
+            out[k] = majority(np.array(got, np.uint64))
     return out
 
 
