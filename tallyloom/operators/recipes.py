@@ -24,7 +24,8 @@ def weekly_coverage(cells: DataFrame, corpus: DataFrame, id_col: str, ts_col: st
     """Confident answers by week, and their running share of all answers. Weeks start on Monday, UTC."""
     tv = threshold_value(F.col("type"), F.col("noul"), F.col("confidence"))
     times = corpus.select(F.col(id_col).cast("string").alias("doc_id"), F.date_trunc("week", F.col(ts_col)).alias("week"))
-    weeks = cells.join(times, "doc_id").groupBy("week").agg(F.count(F.lit(1)).alias("total"), F.count_if(tv > least).alias("confident"))
+    # Files of few bytes can hold very many ids, so sizes in bytes must not choose a broadcast of them: every task would hold them all.
+    weeks = cells.join(times.hint("merge"), "doc_id").groupBy("week").agg(F.count(F.lit(1)).alias("total"), F.count_if(tv > least).alias("confident"))
     # One row for each week from here on.
     so_far = Window.orderBy("week").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     return weeks.select("week", "total", "confident", F.sum("total").over(so_far).alias("running"), (F.sum("total").over(so_far) / F.sum("total").over(Window.partitionBy())).alias("share"))

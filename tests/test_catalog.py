@@ -45,6 +45,11 @@ def test_plans(spark, sf):
     assert "CartesianProduct" not in plan(catalog.review_queue(spark, sf))
 
 
+def test_weekly_coverage_holds_no_table_of_ids_in_a_task(spark, sf):
+    plan = catalog.weekly_coverage(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_entry_points(spark, sf):
     import __spark_entry__ as entry
 
