@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from tallyloom.plans.questions import CONTEXT_LIMIT, MARGIN, CallGroup, ContextOverflow, estimate_tokens
 
 SPARE, OVERLAP = 64, 0.1
+CHUNKS = "doc_id string, row_index bigint, chunk_index int, chunk_count int, state string, error string"
+#: Characters of chunks that go back to the JVM at once.
+OUT_CHARS = 4_000_000
 
 
 def chunk_state(state: dict, group: CallGroup, context_limit: int = CONTEXT_LIMIT, margin: float = MARGIN, overlap: float = OVERLAP) -> list[dict]:
@@ -53,6 +56,43 @@ def fixed_chunks(text: Column, width: int, stride: int) -> Column:
     return F.transform(F.sequence(F.lit(0), last), lambda k: F.struct(k.alias("chunk_index"), (k * stride).alias("start"), F.substring(text, k * stride + 1, F.lit(width)).alias("chunk")))
 
 
+def cut_batches(batches: Iterator, group: CallGroup, context_limit: int, margin: float, most: int = OUT_CHARS) -> Iterator:
+    """Arrow batches of ``CHUNKS`` from those of (doc_id, row_index, state json).
+
+    A batch goes out as soon as its states have ``most`` characters, so a task holds what it was sent, one row's chunks
+    and that much besides, however many rows are over the limit.
+    """
+    import pyarrow as pa
+
+    kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string())
+    names = [x.split(" ")[0] for x in CHUNKS.split(", ")]
+    rows, held = [], 0
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds, strict=True)], names=names)
+
+    def pieces(doc_id: str, row_index: int, state: str) -> Iterator[tuple]:
+        try:
+            parts = chunk_state(json.loads(state), group, context_limit, margin)
+        except ContextOverflow as e:
+            yield doc_id, row_index, 0, 0, state, f"state_exceeds_context: {e}"
+            return
+        for k, part in enumerate(parts):
+            yield doc_id, row_index, k, len(parts), json.dumps(part, ensure_ascii=False), None
+
+    for batch in batches:
+        for at in range(batch.num_rows):
+            for row in pieces(*(batch.column(k)[at].as_py() for k in range(3))):
+                rows.append(row)
+                held += len(row[4])
+                if held >= most:
+                    yield out()
+                    rows, held = [], 0
+        del batch  # else it stays until the next one is read
+    if rows:
+        yield out()
+
+
 def chunked(states: DataFrame, group: CallGroup, context_limit: int = CONTEXT_LIMIT, margin: float = MARGIN) -> DataFrame:
     """(doc_id, row_index, chunk_index, chunk_count, state json, error) of ``states(doc_id, row_index, state json, tokens)``.
 
@@ -60,22 +100,8 @@ def chunked(states: DataFrame, group: CallGroup, context_limit: int = CONTEXT_LI
     """
     limit = int(context_limit * (1 - margin)) - max(q.schema_tokens for q in group.questions)
     fits = states.filter(F.col("tokens") <= limit).select("doc_id", "row_index", F.lit(0).alias("chunk_index"), F.lit(1).alias("chunk_count"), "state", F.lit(None).cast("string").alias("error"))
-
-    def cut(frames: Iterator) -> Iterator:
-        import pandas as pd
-
-        for frame in frames:
-            rows = []
-            for r in frame.itertuples(index=False):
-                try:
-                    parts = chunk_state(json.loads(r.state), group, context_limit, margin)
-                    rows += [(r.doc_id, r.row_index, k, len(parts), json.dumps(p, ensure_ascii=False), None) for k, p in enumerate(parts)]
-                except ContextOverflow as e:
-                    rows.append((r.doc_id, r.row_index, 0, 0, r.state, f"state_exceeds_context: {e}"))
-            yield pd.DataFrame(rows, columns=["doc_id", "row_index", "chunk_index", "chunk_count", "state", "error"])
-
-    schema = "doc_id string, row_index bigint, chunk_index int, chunk_count int, state string, error string"
-    return fits.unionByName(states.filter(F.col("tokens") > limit).mapInPandas(cut, schema))
+    long = states.filter(F.col("tokens") > limit).select("doc_id", "row_index", "state")
+    return fits.unionByName(long.mapInArrow(lambda batches: cut_batches(batches, group, context_limit, margin), CHUNKS))
 
 
 def aggregate_chunks(answers: DataFrame, noul_mode: str = "max", keys: tuple[str, ...] = ("doc_id", "question_id")) -> DataFrame:

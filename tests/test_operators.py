@@ -159,6 +159,19 @@ def test_chunks_cover_every_character(unit):
     assert end == len(body)
 
 
+def test_chunks_leave_in_small_batches():
+    import pyarrow as pa
+
+    group = Q.call_groups(QS)[0]
+    states = [json.dumps({"body": f"{k} " + 'a "b" ' * 2000}) for k in range(40)]
+    sent = pa.RecordBatch.from_arrays([pa.array([f"d{k}" for k in range(40)]), pa.array(range(40), pa.int64()), pa.array(states)], names=["doc_id", "row_index", "state"])
+    got = list(chunking.cut_batches(iter([sent, sent.slice(0, 0), sent.slice(0, 3)]), group, 700, 0.15, most=50_000))
+    assert max(sum(map(len, b.column(4).to_pylist())) for b in got) < 53_000 and len(got) > 10
+    parts = [chunking.chunk_state(json.loads(s), group, 700, 0.15) for s in (*states, *states[:3])]
+    want = [(f"d{k % 40}", k % 40, n, len(ps), json.dumps(p, ensure_ascii=False), None) for k, ps in enumerate(parts) for n, p in enumerate(ps)]
+    assert [tuple(r.values()) for b in got for r in b.to_pylist()] == want
+
+
 def test_chunks_that_cannot_be():
     group = Q.call_groups(QS)[0]
     with pytest.raises(Q.ContextOverflow):
